@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import deduplicated_archive
+
+    return deduplicated_archive(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -29,6 +35,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import held_out_scores
+
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fertility import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op8_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import assign
 
@@ -52,6 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import mixing
+    from tessera.llm import mixing, warc
 
-    return {"op3_source_mixing": mixing.oracle()}
+    return {"op1_warc_revisits": warc.ORACLE, "op3_source_mixing": mixing.oracle()}
