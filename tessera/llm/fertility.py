@@ -40,6 +40,8 @@ LEAST_DOCUMENTS = 20
 LONGEST_WORD = 1000
 #: Characters per token, as factors of the language's median.
 PER_TOKEN = (0.82, 1.3)
+#: The same where the language has too few documents and the corpus median stands in.
+PER_TOKEN_WIDE = (0.6, 1.6)
 #: Byte share beyond the language's median.
 BYTE_SHARE = 0.1
 #: Entropy as a share of log2(number of tokens, MOST_TOKENS at most: longer texts draw on one and the same stock).
@@ -171,7 +173,8 @@ def judge(documents: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, fo
     banded = rows.join(own, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     bands = []
     for k in range(n):
+        low, high = (F.when(F.col(f"mid_per_token_{k}").isNull(), F.lit(wide)).otherwise(F.lit(own_)) for wide, own_ in zip(PER_TOKEN_WIDE, PER_TOKEN, strict=True))
         mid, share = (F.coalesce(F.col(f"mid_{name}_{k}"), F.lit(corpus[f"mid_{name}_{k}"]), F.lit(0.0)) for name in ("per_token", "byte_share"))
-        bands += [F.col(f"per_token_{k}").between(PER_TOKEN[0] * mid, PER_TOKEN[1] * mid), F.col(f"byte_share_{k}") <= share + BYTE_SHARE, F.col(f"entropy_{k}") >= ENTROPY]
+        bands += [F.col(f"per_token_{k}").between(low * mid, high * mid), F.col(f"byte_share_{k}") <= share + BYTE_SHARE, F.col(f"entropy_{k}") >= ENTROPY]
     inside = reduce(lambda a, b: a & b, bands)
     return banded.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), *(f"{name}_{k}" for k in range(n) for name in ("per_token", "byte_share", "entropy")))
