@@ -14,6 +14,7 @@ ids are placed like others (equal rows are interchangeable); an empty table give
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise
 
 SHARDS = 24
-RANGES = 256
+RANGES = 64
 #: Expected number of sampled keys, the only rows that reach the driver.
 SAMPLE = 16_384
 #: A range beyond so many times the mean is subdivided.
 OVERFULL = 2.0
+#: Rows that a cell holds at most, about; larger ranges are subdivided too.
+CELL_ROWS = 1_000_000
 OVERHEAD = 8
 
 
@@ -63,41 +66,57 @@ def range_of(key: Column, cuts: list[int], base: int = 0) -> Column:
     return F.when(key <= F.lit(cuts[mid]), range_of(key, cuts[:mid], base)).otherwise(range_of(key, cuts[mid + 1 :], base + mid + 1))
 
 
-def cells(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[Column, Column, DataFrame, int]:
-    """Expressions for the range and the subdivision of a row, the cells with the bytes and rows before them, and all bytes."""
+def ranged(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """Adds range_no, the only place where the tree of comparisons stands."""
+    return rows.withColumn("range_no", range_of(F.col("key"), cuts))
+
+
+def _part(parts: dict[int, int], ranges: int) -> Column:
+    """Subdivision of a row's range; 0 in ranges that are whole."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(23)), F.element_at(F.array(*(F.lit(parts.get(k, 1)) for k in range(ranges))), F.col("range_no") + 1)).cast("int")
+
+
+@dataclass
+class Plan:
+    """Where the cells are cut, and what stands before each of them."""
+
+    cuts: list[int]
+    parts: dict[int, int]
+    ranges: int
+    before: DataFrame
+    total: int
+
+
+def plan(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[Plan, DataFrame]:
+    """The plan for narrow rows (doc_id, size, key, ...), and the rows with their cell."""
     count, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
-    if not count:
-        return F.lit(0), F.lit(0), rows.groupBy(F.lit(0).alias("range_no"), F.lit(0).alias("part")).agg(F.sum("size").alias("bytes_before"), F.count(F.lit(1)).alias("rows_before")), 0
-    cut = range_of(F.col("key"), splitters(rows, total, ranges, sample))
-    measured = rows.groupBy(cut.alias("range_no")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()  # one row a range
-    parts = {r.range_no: math.ceil(max(r.n * ranges / count, r.bytes * ranges / total)) for r in measured if max(r.n * ranges / count, r.bytes * ranges / total) > OVERFULL}
-    divisor = F.lit(1)
-    for number, n in parts.items():
-        divisor = F.when(cut == number, F.lit(n)).otherwise(divisor) if len(parts) <= 64 else divisor
-    if len(parts) > 64:
-        divisor = F.element_at(F.array(*(F.lit(parts.get(k, 1)) for k in range(ranges))), cut + 1)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(23)), divisor)
-    per_cell = rows.groupBy(cut.alias("range_no"), part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    order = W.orderBy("range_no", "part").rowsBetween(W.unboundedPreceding, -1)
+    cuts = splitters(rows, total, ranges, sample) if count else []
+    rows = materialise(ranged(rows, cuts))
+    parts = {}
+    for r in rows.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect():  # one row a range
+        load = max(r.n * ranges / count, r.bytes * ranges / total)
+        parts[r.range_no] = max(math.ceil(load) if load > OVERFULL else 1, -(-r.n // CELL_ROWS))
+    rows = rows.withColumn("part", _part(parts, ranges))
+    per_cell = rows.groupBy("range_no", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    order = W.orderBy("range_no", "part").rowsBetween(W.unboundedPreceding, -1)  # of cells, not of rows
     before = per_cell.select("range_no", "part", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("rows_before"))
-    return cut, part, before, total
+    return Plan(cuts, parts, ranges, materialise(before), total or 0), rows
 
 
-def placed(rows: DataFrame, plan: tuple[Column, Column, DataFrame, int], shards: int = SHARDS) -> DataFrame:
-    """Adds shard and rank (over all rows) to rows with key, size and doc_id."""
-    cut, part, before, total = plan
+def placed(rows: DataFrame, at: Plan, shards: int = SHARDS) -> DataFrame:
+    """Adds shard and rank (over all rows) to rows with key, size, doc_id and their cell."""
     inside = W.partitionBy("range_no", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("range_no", cut).withColumn("part", part)
-    out = out.withColumn("bytes_in", F.sum("size").over(inside)).withColumn("rows_in", F.row_number().over(W.partitionBy("range_no", "part").orderBy("key", "doc_id")))
-    out = out.join(F.broadcast(before), ["range_no", "part"])  # at most a few cells for each of the RANGES
-    shard = F.least(F.expr(f"({shards}L * (2 * (bytes_before + bytes_in) - size)) div {2 * max(total, 1)}L"), F.lit(shards - 1)).cast("int")
+    out = rows.withColumn("bytes_in", F.sum("size").over(inside)).withColumn("rows_in", F.count(F.lit(1)).over(inside))
+    out = out.join(at.before, ["range_no", "part"])
+    shard = F.least(F.expr(f"({shards}L * (2 * (bytes_before + bytes_in) - size)) div {2 * max(at.total, 1)}L"), F.lit(shards - 1)).cast("int")
     return out.withColumn("shard", shard).withColumn("rank", F.col("rows_before") + F.col("rows_in") - 1).drop("range_no", "part", "bytes_in", "rows_in", "bytes_before", "rows_before")
 
 
 def assign(documents: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = materialise(keyed(documents.select("doc_id", "text")).select("doc_id", "size", "key", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
-    out = materialise(placed(rows, cells(rows, ranges, sample), shards))
+    at, rows = plan(rows, ranges, sample)
+    out = materialise(placed(rows, at, shards))
     first = out.groupBy("shard").agg(F.min("rank").alias("first_rank"))
     out = out.join(F.broadcast(first), "shard")  # one row a shard
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first_rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -107,8 +126,9 @@ def sharded_documents(documents: DataFrame, shards: int = SHARDS, ranges: int =
     """The documents with shard and slot; texts move once, in the exchange of the cells."""
     columns = documents.columns
     narrow = materialise(keyed(documents.select("doc_id", "text")).select("doc_id", "size", "key"))
-    plan = cells(narrow, ranges, sample)
-    first = placed(narrow, plan, shards).groupBy("shard").agg(F.min("rank").alias("first_rank"))
+    at, narrow = plan(narrow, ranges, sample)
+    first = placed(narrow, at, shards).groupBy("shard").agg(F.min("rank").alias("first_rank"))
     wide = keyed(documents.select("doc_id", "text", F.struct(*columns).alias("carried"))).drop("text")
-    out = placed(wide, plan, shards).join(F.broadcast(first), "shard")
+    wide = ranged(wide, at.cuts).withColumn("part", _part(at.parts, ranges))
+    out = placed(wide, at, shards).join(F.broadcast(first), "shard")
     return out.select(*(F.col("carried")[c].alias(c) for c in columns), "shard", (F.col("rank") - F.col("first_rank")).cast("long").alias("slot"))
