@@ -47,6 +47,12 @@ def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import assign
 
@@ -70,6 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import mixing, warc
+    from tessera.llm import license_scan, mixing, warc
 
-    return {"op1_warc_revisits": warc.ORACLE, "op3_source_mixing": mixing.oracle()}
+    return {"op1_warc_revisits": warc.ORACLE, "op3_source_mixing": mixing.oracle(), "op7_license_digests": license_scan.oracle()}
