@@ -184,7 +184,7 @@ def similar_blocked(matrix: DataFrame, norms: DataFrame, k: int = 5, block: int
         if not len(rows) or not len(columns):
             return pd.DataFrame({"i": [], "j": [], "score": []}).astype({"i": "int64", "j": "int64", "score": "float64"})
         out_i, out_j, out_s = [], [], []
-        dense = np.zeros((len(names), len(columns)), np.float32) if len(names) * len(columns) <= 40_000_000 else None
+        dense = np.zeros((len(names), len(columns)), np.float64) if len(names) * len(columns) <= 20_000_000 else None
         right_at = of >= len(rows)
         if dense is not None:
             dense[codes[right_at], of[right_at] - len(rows)] = us[right_at]

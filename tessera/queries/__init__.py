@@ -1 +1,6 @@
-"""queries of the engine."""
+"""Registers every query of the engine."""
+
+from tessera.queries import mining, profiling, retrieval  # noqa: F401
+from tessera.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
