@@ -244,7 +244,7 @@ def segment(df: DataFrame, columns: dict[str, str], segmenter: Segmenter) -> Dat
 
 def _intervals(words: Column) -> Column:
     """Array of (begin, end) of the words, from 1."""
-    ends = F.aggregate(words, F.array().cast("array<int>"), lambda a, w: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + F.length(w))))
+    ends = F.aggregate(words, F.array().cast("array<int>"), lambda a, w: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(w))))
     return F.transform(F.arrays_zip(words.alias("w"), ends.alias("e")), lambda x: F.struct((x["e"] - F.length(x["w"]) + 1).alias("b"), x["e"].alias("e")))
 
 

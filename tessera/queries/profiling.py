@@ -139,15 +139,15 @@ def field_selection(spark, sf_dir) -> DataFrame:
     return df
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_join(spark, sf_dir) -> DataFrame:
-    orders = V.table(spark, sf_dir, "orders").where("o_totalprice > 100000").withColumnRenamed("o_custkey", "c_custkey")
+    orders = V.table(spark, sf_dir, "orders").where("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey")
     return FL.others(V.table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey")
 
 
-@query("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def semi_join(spark, sf_dir) -> DataFrame:
-    orders = V.table(spark, sf_dir, "orders").where("o_totalprice > 100000").withColumnRenamed("o_custkey", "c_custkey")
+    orders = V.table(spark, sf_dir, "orders").where("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey")
     return FL.members(V.table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey")
 
 

@@ -233,12 +233,12 @@ def service_counts(spark, sf_dir) -> DataFrame:
     return SV.Service(_no_terms(spark, sf_dir)).counts()
 
 
-_GEO = ", ".join(f"('{c}', {x}, {y})" for c, x, y in (("FRANCE", 2.35, 48.85), ("GERMANY", 13.4, 52.52), ("JAPAN", 139.69, 35.68), ("NOWHERE", 0.0, 0.0), ("BRAZIL", -47.88, -15.79)))
+_GEO = ", ".join(f"('{c}', {x}, {y})" for c, x, y in (("NATION_3", 2.35, 48.85), ("NATION_7", 13.4, 52.52), ("NATION_12", 139.69, 35.68), ("NOWHERE", 0.0, 0.0), ("NATION_20", -47.88, -15.79)))
 
 
 @query("geo_join", f"WITH {V.JOB}, geo(city, lng, lat) AS (VALUES {_GEO}), c AS (SELECT city, count(*) AS n FROM job GROUP BY city), m AS (SELECT city, n, CAST(lng AS DOUBLE) AS lng, CAST(lat AS DOUBLE) AS lat FROM c JOIN geo USING (city)) SELECT *, round(greatest(4 + (n - min(n) OVER ()) / greatest(max(n) OVER () - min(n) OVER (), 1) * 28, 4.0), 4) AS symbol_size FROM m")
 def geo_join(spark, sf_dir) -> DataFrame:
-    geo = spark.createDataFrame([("FRANCE", 2.35, 48.85), ("GERMANY", 13.4, 52.52), ("JAPAN", 139.69, 35.68), ("NOWHERE", 0.0, 0.0), ("BRAZIL", -47.88, -15.79)], "city string, lng double, lat double")
+    geo = spark.createDataFrame([("NATION_3", 2.35, 48.85), ("NATION_7", 13.4, 52.52), ("NATION_12", 139.69, 35.68), ("NOWHERE", 0.0, 0.0), ("NATION_20", -47.88, -15.79)], "city string, lng double, lat double")
     return SV.Service(_no_terms(spark, sf_dir)).map_data(geo)
 
 
