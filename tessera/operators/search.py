@@ -62,10 +62,21 @@ class Index:
     n_docs: int
     kind: str = "plain"
 
-    def cached(self) -> Index:
-        for name in ("docs", "titles", "matrix", "norms", "vocabulary"):
-            getattr(self, name).cache()
-        return self
+    def written(self, path: str) -> Index:
+        """The index as Parquet tables below path, read back: searches start from them and survive lost executors.
+
+        The matrix is ranged and sorted by term, so that row group statistics leave a search
+        little more than the postings of its terms to read.
+        """
+        spark = self.docs.sparkSession
+
+        def written(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        matrix = written("matrix", self.matrix.repartitionByRange("term").sortWithinPartitions("term"))
+        vocabulary = IX.vocabulary(matrix).repartitionByRange("term").sortWithinPartitions("term")
+        return Index(self.docs, written("titles", self.titles), matrix, written("norms", IX.norms(matrix)), written("vocabulary", vocabulary), self.n_docs, self.kind)
 
 
 def build(docs: DataFrame, tokens: DataFrame, features: int = 200) -> Index:

@@ -95,6 +95,13 @@ def weight_schemes(spark, sf_dir) -> DataFrame:
     return IX.scheme_stats(V.all_postings(spark, sf_dir), V.n_documents(spark, sf_dir))
 
 
+@query("index_build", f"WITH {V.MATRIX} SELECT (SELECT count(*) FROM matrix) AS weights, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM vocab")
+def index_build(spark, sf_dir) -> DataFrame:
+    """Builds and writes the search index anew; returns its sizes."""
+    ix = V.index(spark, sf_dir, rebuild=True)
+    return ix.matrix.agg(F.count(F.lit(1)).alias("weights")).crossJoin(ix.vocabulary.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings")))  # one row each
+
+
 @query("tfidf_top200", f"WITH {V.MATRIX} SELECT doc_id, term, round(w, 6) AS w FROM matrix")
 def tfidf_top200(spark, sf_dir) -> DataFrame:
     return V.index(spark, sf_dir).matrix.withColumn("w", F.round("w", 6))

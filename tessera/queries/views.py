@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.operators import index as IX
 from tessera.operators import search as S
+from tessera.session import shared_dir
 
 FIRST_LINE = r"^[^.\n]*"
 TERMS = ["that", "with", "this"]
@@ -39,9 +40,19 @@ def n_documents(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").count()
 
 
-def index(spark: SparkSession, sf_dir: str) -> S.Index:
-    docs = records(spark, sf_dir)
-    return S.build(docs, token_table(docs))
+_BUILT: dict[tuple[str, str], S.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> S.Index:
+    """The search index of the documents, built and written once for each application and folder.
+
+    Like any stored index it shows the documents as they were; rebuild makes a new one.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if rebuild or key not in _BUILT:
+        docs = records(spark, sf_dir)
+        _BUILT[key] = S.build(docs, token_table(docs)).written(f"{shared_dir(spark)}/index")
+    return _BUILT[key]
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

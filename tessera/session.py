@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,12 @@ def session(name: str = "tessera", cores: int | str = "*", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; a local one where none is named (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        top = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
