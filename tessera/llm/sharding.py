@@ -30,6 +30,8 @@ SAMPLE = 16_384
 OVERFULL = 2.0
 #: Rows that a cell holds at most, about; larger ranges are subdivided too.
 CELL_ROWS = 1_000_000
+#: Bytes that a cell holds at most, about, so that a cell that carries its texts fits a task at any size of the input.
+CELL_BYTES = 128 << 20
 OVERHEAD = 8
 
 
@@ -95,7 +97,7 @@ def plan(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[P
     parts = {}
     for r in rows.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect():  # one row a range
         load = max(r.n * ranges / count, r.bytes * ranges / total)
-        parts[r.range_no] = max(math.ceil(load) if load > OVERFULL else 1, -(-r.n // CELL_ROWS))
+        parts[r.range_no] = max(math.ceil(load) if load > OVERFULL else 1, -(-r.n // CELL_ROWS), -(-r.bytes // CELL_BYTES))
     rows = rows.withColumn("part", _part(parts, ranges))
     per_cell = rows.groupBy("range_no", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     order = W.orderBy("range_no", "part").rowsBetween(W.unboundedPreceding, -1)  # of cells, not of rows

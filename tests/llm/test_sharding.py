@@ -52,3 +52,11 @@ def test_sharded_documents(make):
 def test_empty_table(make):
     assert S.assign(make([])).count() == 0
     assert S.sharded_documents(make([])).count() == 0
+
+
+def test_cells_bounded_by_bytes(make, monkeypatch):
+    monkeypatch.setattr(S, "CELL_BYTES", 500)
+    rows = [(i, "x" * (i * 31 % 90)) for i in range(600)] + [(1000 + i, "the same hot text") for i in range(300)]
+    check(rows, S.assign(make(rows), ranges=8, sample=100).collect())
+    out = S.sharded_documents(make(rows), ranges=8, sample=100).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in out} == {(r.doc_id, r.shard, r.slot) for r in S.assign(make(rows), ranges=8, sample=100).collect()}
