@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked SimHash fingerprints, the document with the least id stays."""
+    """Of each component of texts with 0.8 or more of their five-word shingles in common, the document with the least id stays."""
     return simhash.one_of_each(docs)
 
 
