@@ -203,22 +203,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return whole.select("doc_id", "n_words", "spans", "items").mapInArrow(_verdict, verdict)
 
 
-def _without_hits(matcher: Matcher, text_at: int, length_at: int | None, schema: pa.Schema, coverage: int):
+def _cut(raw: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text without the words of the spans; starts and ends are those of its words, from any common base."""
+    base, out, at = int(starts[0]) - _lead(raw), [], 0
+    for lo, hi in spans:
+        out.append(raw[at : int(starts[lo]) - base])
+        at = int(ends[hi - 1]) - base
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _without_hits(hits_of, text_at: int, length_at: int | None, schema: pa.Schema, coverage: int):
+    """hits_of gives runs of a batch as matches() does; rows of the schema leave."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], batch.column(text_at).to_pylist()
-            for i, n, hits, _, starts, ends, first in matches(batch.column(text_at), matcher):
+            for i, n, hits, _, starts, ends, first in hits_of(batch):
                 for r, spans in enumerate(hits):
                     hit = sum(hi - lo for lo, hi in spans)
                     keep.append(not hit or 100 * hit < coverage * int(n[r]))
                     if hit and keep[-1]:
-                        raw, out, at = texts[i + r].encode(), [], 0
-                        base = int(starts[first[r]]) - _lead(raw)
-                        for lo, hi in spans:
-                            out.append(raw[at : int(starts[first[r] + lo]) - base])
-                            at = int(ends[first[r] + hi - 1]) - base
-                        texts[i + r] = b"".join([*out, raw[at:]]).decode()
-            arrays = list(batch.columns)
+                        texts[i + r] = _cut(texts[i + r].encode(), spans, starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]])
+            arrays = list(batch.columns)[: len(schema)]
             arrays[text_at] = pa.array(texts, schema.field(text_at).type)
             if length_at is not None:
                 arrays[length_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(schema.field(length_at).type)
@@ -227,6 +233,16 @@ def _without_hits(matcher: Matcher, text_at: int, length_at: int | None, schema:
     return run
 
 
+def _held_hits(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """As matches(), with the spans of all blocks that the last column holds."""
+    held = batch.column(batch.num_columns - 1).to_pylist()
+    text = batch.column(batch.schema.names.index("text"))
+    for i, j, a, offsets in K.runs(text):
+        starts, ends, first = K.words(K.LOWER_ARRAY[a], offsets, BREAKS)
+        hits = [merged([(s["lo"], s["hi"]) for s in x or []]) for x in held[i:j]]
+        yield i, np.diff(first), hits, None, starts, ends, first
+
+
 def _lead(raw: bytes) -> int:
     """Bytes before the first word."""
     inside = ~BREAKS[np.frombuffer(raw.translate(K.LOWER), np.uint8)]
@@ -240,14 +256,26 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     spans go (they exceed the length limit), and n_chars, if there, follows the text.
     """
     small_batches(documents.sparkSession)
-    out = documents
-    for items in blocks(benchmark, block_words):
-        types = {f.name: f.dataType for f in out.schema.fields}
-        schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in out.schema.fields])
-        names = list(types)
-        run = _without_hits(Matcher(items, window), names.index("text"), names.index("n_chars") if "n_chars" in types else None, schema, coverage)
-        out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields]))
-    return out
+    types = {f.name: f.dataType for f in documents.schema.fields}
+    schema = pa.schema([(f.name, _arrow_type(f.dataType)) for f in documents.schema.fields])
+    names = list(types)
+    same = T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema.fields])
+    at = names.index("text"), names.index("n_chars") if "n_chars" in types else None
+    matchers = [Matcher(items, window) for items in blocks(benchmark, block_words)]
+    if len(matchers) == 1:
+        return documents.mapInArrow(_without_hits(lambda batch: matches(batch.column(at[0]), matchers[0]), *at, schema, coverage), same)
+    # Each block is matched against the original text; its spans travel, and all are judged and cut at once.
+    texts = documents.select(F.xxhash64("doc_id", "text").alias("text_key"), "text")
+    found = [texts.mapInArrow(_hits(m, ["text_key"]), f"text_key long, {_HITS}").where("size(spans) > 0").select("text_key", "spans") for m in matchers]
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    every = every.groupBy("text_key").agg(F.flatten(F.collect_set("spans")).alias("spans")).select(F.bitwise_not("text_key").alias("not_key"), "spans")
+    # The added columns stand last and under names of their own, whatever the documents' are.
+    added = "_" * (1 + max(map(len, names)))
+    every = every.select(F.col("not_key").alias(f"{added}k"), F.col("spans").alias(f"{added}s"))
+    whole = documents.join(every, F.bitwise_not(F.xxhash64("doc_id", "text")) == F.col(f"{added}k"), "left").select(*names, f"{added}s")
+    return whole.mapInArrow(_without_hits(_held_hits, *at, schema, coverage), same)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

@@ -89,3 +89,25 @@ def test_documents(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     rows, items = ([tuple(r) for r in df.collect()] for df in (docs.select("doc_id", "text"), bench.select("item_id", "text")))
     assert Counter(map(tuple, D.contamination(docs, bench).collect())) == brute(rows, items)
+
+
+@pytest.mark.parametrize("block", [60, 15])
+def test_blocks_decontaminate_as_one(spark, make, world, block):
+    rows, items = world
+    r = random.Random(4)
+    # Passages of several items that lie apart or overlap, some under the limit each but not together.
+    long = [(200 + k, " ".join(f"p{k + i}" for i in range(20))) for k in range(0, 40, 8)]
+    for k in range(60):
+        w = [f"other{r.randrange(99)}" for _ in range(r.choice([300, 450, 900]))]
+        for _ in range(r.randrange(1, 4)):
+            lo = r.randrange(30)
+            w[(at := r.randrange(len(w))) : at] = [f"p{i}" for i in range(lo, lo + r.choice([14, 20, 27]))]
+        rows = [*rows, (1000 + k, " ".join(w))]
+    rows = [*rows, *ODD, (2000, long[0][1] + " " + " ".join(f"z{i}" for i in range(500)))]
+    bench = spark.createDataFrame(long + [(300, " ".join(f"q{i}" for i in range(25)))], "item_id long, text string")
+    df = make(rows, extra=True)
+    one = Counter(map(tuple, D.decontaminate(df, bench).collect()))
+    parts = D.decontaminate(df, bench, block_words=block)
+    assert parts.columns == df.columns
+    assert Counter(map(tuple, parts.collect())) == one
+    assert sum(one.values()) < len(rows)
