@@ -3,7 +3,7 @@
 A text is canonical with A-Z in lower case, copyright lines gone, everything between
 words (ASCII punctuation and white space, typographic quotes and dashes) as one space, and
 equivalent spellings made one. Its SHA-256 is looked up among the digests of the known licences,
-which are a constant of the program (about thirty rows) and so are broadcast. The
+which are a constant of the program (about a hundred rows) and so are broadcast. The
 same digest, taken of the single lines that could be notices, finds notices
 inside other texts.
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower
+from tessera.llm.license_digests import DIGESTS
 from tessera.llm.license_texts import NOTICES, TEXTS
 
 #: Whole lines that only say whose the copyright is.
@@ -81,7 +82,8 @@ def could_be_notice(line: Column) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, canonical_sha256, license (of the whole text, or null), notices (sorted identifiers, comma-joined) of every document."""
     spark = documents.sparkSession
-    whole = known(spark, TEXTS)
+    long = spark.createDataFrame(DIGESTS, "license string, known_digest string").select("known_digest", "license")
+    whole = known(spark, TEXTS).unionByName(long)
     notices = known(spark, NOTICES).orderBy("known_digest").collect()  # the program's own constant
     of_notice = F.create_map(*(x for r in notices for x in (F.lit(r.known_digest), F.lit(r.license))))
     lines = F.filter(F.split("text", "\n"), could_be_notice)

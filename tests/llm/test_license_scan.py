@@ -1,8 +1,10 @@
 import hashlib
+import pathlib
 import re
 from collections import Counter
 
 import duckdb
+import pytest
 
 from tessera.llm import license_scan as L
 from tessera.llm.license_texts import MIT, NOTICES, TEXTS
@@ -72,3 +74,17 @@ def test_documents(spark, sf_dir):
 
 def test_empty_table(make):
     assert L.scan(make([])).count() == 0
+
+
+LONG = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_long_texts_are_known(make):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    texts = {k: (folder / f).read_text() for f, k in LONG.items()}
+    cut = texts["Apache-2.0"].partition("APPENDIX: How to apply")[0]
+    rows = [(i, t) for i, t in enumerate([*texts.values(), cut, cut + " and more", texts["GPL-3.0-only"].upper()])]
+    got = {r.doc_id: r.license for r in L.scan(make(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [*texts, "Apache-2.0", None, "GPL-3.0-only"]
