@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -30,13 +33,58 @@ def word_vectors(tfidf: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(length, "term").select("term", "doc_id", (F.col("w") / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).alias("w"))
 
 
-def sketch(vectors: DataFrame, size: int = 64) -> DataFrame:
-    """term, features: signed hashing of the documents to a fixed number of dimensions, so that vectors stay small whatever the corpus."""
-    h = F.xxhash64("doc_id")
-    signed = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.col("w")).otherwise(-F.col("w"))
-    cells = vectors.select("term", F.pmod(h, F.lit(size)).cast("int").alias("d"), signed.alias("x")).groupBy("term", "d").agg(F.sum("x").alias("x"))
-    m = cells.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
-    return m.select("term", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))).alias("features"))
+def _partial_gram(n: int, docs: int = 256):
+    """Sums of the products of word pairs over the documents of a partition; rows (doc_id, i, w) are sorted by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, at, last = np.zeros((n, n)), np.zeros((docs, n)), -1, None
+        for batch in batches:
+            for doc, i, w in zip(batch["doc_id"].to_pylist(), batch["i"].to_pylist(), batch["w"].to_pylist(), strict=True):
+                if at < 0 or doc != last:
+                    if at == docs - 1:
+                        total += block.T @ block
+                        block[:], at = 0.0, -1
+                    at, last = at + 1, doc
+                block[at, i] += w
+        total += block.T @ block
+        i, j = np.nonzero(np.triu(total))
+        for k in range(0, len(i), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(i[part].astype(np.int32)), pa.array(j[part].astype(np.int32)), pa.array(total[i[part], j[part]])], ["i", "j", "x"])
+
+    return run
+
+
+def gram(vectors: DataFrame, most: int = WORDS) -> tuple[list[str], np.ndarray]:
+    """The words in order and the inner products of their vectors over all documents; more words are refused, so the matrix is bounded."""
+    vectors = vectors.cache()
+    terms = [r.term for r in vectors.select("term").distinct().orderBy("term").limit(most + 1).collect()]
+    if len(terms) > most:
+        raise ValueError(f"at most {most} words have a place in the matrix")
+    out = np.zeros((len(terms), len(terms)))
+    if not terms:
+        return terms, out
+    numbered = vectors.sparkSession.createDataFrame(list(zip(terms, range(len(terms)), strict=True)), "term string, i int")
+    rows = vectors.join(F.broadcast(numbered), "term").select("doc_id", "i", "w").repartition("doc_id").sortWithinPartitions("doc_id", "i")
+    sums = rows.mapInArrow(_partial_gram(len(terms)), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
+    for batch in sums.toArrow().to_batches():
+        i, j, x = (batch[c].to_numpy() for c in ("i", "j", "x"))
+        out[i, j] = out[j, i] = np.round(x, 12)  # the order of the sum doesn't show
+    vectors.unpersist()
+    return terms, out
+
+
+def exact_features(vectors: DataFrame, most: int = WORDS) -> DataFrame:
+    """term, features: coordinates with exactly the inner products of the word vectors over all documents.
+
+    With G = V L V^T the Gram matrix, the rows of V sqrt(L) have G as theirs, so that
+    distances, linkage, k-means and principal components are those of the full vectors.
+    """
+    terms, g = gram(vectors, most)
+    values, axes = np.linalg.eigh(g) if terms else (np.zeros(0), g)
+    x = axes[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))
+    rows = vectors.sparkSession.createDataFrame([(t, own.tolist()) for t, own in zip(terms, x, strict=True)], "term string, x array<double>")
+    return rows.select("term", array_to_vector("x").alias("features"))
 
 
 def kmeans(features: DataFrame, ks: range = range(6, 13), seed: int = 42) -> tuple[DataFrame, int]:
@@ -136,4 +184,4 @@ def vectors_of_embeddings(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).alias("item"), F.posexplode(F.transform(column, lambda x: x.cast("double") / length)).alias("dim", "w"))
 
 
-__all__ = ["IX", "agreement", "hierarchical", "kmeans", "linkage", "names", "pca", "quality", "sketch", "vectors_of_embeddings", "word_variance", "word_vectors"]
+__all__ = ["IX", "agreement", "exact_features", "gram", "hierarchical", "kmeans", "linkage", "names", "pca", "quality", "vectors_of_embeddings", "word_variance", "word_vectors"]

@@ -129,7 +129,7 @@ def word_vectors(spark, sf_dir) -> DataFrame:
 
 def _features(spark, sf_dir) -> DataFrame:
     matrix, n = _matrix(spark, sf_dir)
-    return C.sketch(C.word_vectors(matrix, C.word_variance(matrix, n)))
+    return C.exact_features(C.word_vectors(matrix, C.word_variance(matrix, n)))
 
 
 @query("kmeans_words")

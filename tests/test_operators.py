@@ -360,3 +360,14 @@ def test_corpus_build(spark):
     assert (str(r.pub_date), str(r.end_date)) == ("2026-01-05", "2026-03-06")
     report = CB.quality_report(df, CB.clean(df), {"links": "http"})
     assert report["comparison"].count() == len(df.columns)
+
+
+def test_features_have_the_inner_products_of_all_documents(spark):
+    r = np.random.default_rng(3)
+    x = r.random((40, 900)) * (r.random((40, 900)) < 0.2)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    rows = [(f"t{i:02d}", int(d), float(x[i, d])) for i in range(40) for d in np.flatnonzero(x[i])]
+    out = CL.exact_features(spark.createDataFrame(rows, "term string, doc_id long, w double"))
+    got = np.array([v.features.toArray() for v in out.orderBy("term").collect()])
+    assert np.abs(got @ got.T - x @ x.T).max() < 1e-9
+    assert CL.exact_features(spark.createDataFrame([], "term string, doc_id long, w double")).count() == 0
