@@ -21,8 +21,9 @@ null URL has no header. An empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -155,6 +156,11 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 _READ = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
+def unpacked(content: bytes) -> bytes:
+    """An archive's bytes: those of all its gzip members (often one a record), or the content if it isn't compressed."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
+
+
 def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
@@ -163,8 +169,7 @@ def _read(payloads: bool):
     schema = _READ if payloads else pa.schema([f for f in _READ if f.name != "payload"])
 
     def rows(content: bytes) -> Iterator[dict]:
-        raw = zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else content
-        for headers, block in parse(raw):
+        for headers, block in parse(unpacked(content)):
             http, _, payload = block.partition(b"\r\n\r\n")
             row = {"page_id": _number(headers.get("page-id")), "uri": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": _number(headers.get("refers-to-page-id"))}
             if row["record_type"] == "response":

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 from collections import Counter
 
@@ -50,3 +51,12 @@ def test_archives_as_input(spark, tmp_path):
 
 def test_empty_table(spark):
     assert X.deduplicated_archive(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_one_gzip_member_per_record(spark, tmp_path):
+    rows = X.records_of_pages(spark.createDataFrame([r for r in ROWS if r[0]], PAGES))
+    records = [r.record for r in X.response_records(rows).collect()]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r.encode() + b"\r\n\r\n") for r in records))
+    read = X.read_warc(spark, f"file://{tmp_path}/m", payloads=True)
+    assert Counter((r.page_id, bytes(r.payload)) for r in read.collect()) == Counter((p, (h or "").encode()) for p, _, h in ROWS if p)
