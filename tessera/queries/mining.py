@@ -140,7 +140,11 @@ def kmeans_words(spark, sf_dir) -> DataFrame:
 
 @query("hierarchical_words")
 def hierarchical_words(spark, sf_dir) -> DataFrame:
-    return C.hierarchical(_features(spark, sf_dir), 10)
+    """Ward, single and complete linkage at the k that k-means chooses by silhouette."""
+    features = _features(spark, sf_dir).cache()
+    _, k = C.kmeans(features)
+    parts = [C.hierarchical(features, k, method).select("term", F.lit(method).alias("method"), "cluster") for method in ("ward", "single", "complete")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("pca_2d")

@@ -60,3 +60,12 @@ def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns == ["rank", "doc_id", "title", "score", "snippet"]
     assert df.count() >= 0
+
+
+def test_three_linkages_at_the_k_of_kmeans(spark, sf_dir):
+    found = QUERIES["hierarchical_words"](spark, sf_dir).collect()
+    of = {m: {r.term: r.cluster for r in found if r.method == m} for m in ("ward", "single", "complete")}
+    assert len(found) == sum(map(len, of.values()))
+    assert of["ward"].keys() == of["single"].keys() == of["complete"].keys()
+    ks = {len(set(x.values())) for x in of.values()}
+    assert len(ks) == 1 and ks <= set(range(6, 13))
