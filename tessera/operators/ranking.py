@@ -6,26 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
-    """Adds rank (0, 1, ...) by the order columns: rows are ranged on sampled splitters, counted per range and ranked inside each."""
+    """Adds rank (0, 1, ...) by the order columns: rows are ranged on sampled splitters, counted per range and ranked inside each.
+
+    The ranged rows are written to the shared folder, since both branches must see the same splitters.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("range_no", F.spark_partition_id()).cache()
+    ranged = materialise(df.repartitionByRange(n, *order).withColumn("range_no", F.spark_partition_id()))
     before = ranged.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("range_no", (F.sum("n").over(W.orderBy("range_no")) - F.col("n")).alias("before"))  # a row per range
     inside = F.row_number().over(W.partitionBy("range_no").orderBy(*order)) - 1
     return ranged.withColumn("inside", inside).join(before, "range_no").withColumn("rank", F.col("before") + F.col("inside")).drop("range_no", "inside", "before")
 
 
-def running(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
-
-
-def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
-
-
 def adjacent_pairs(words: DataFrame, group: str = "line", order: str = "pos", word: str = "word") -> DataFrame:
     """left, right, n of neighbouring words."""
     before = F.lag(word).over(W.partitionBy(group).orderBy(order))

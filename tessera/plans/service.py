@@ -47,9 +47,14 @@ class Service:
 
     def search(self, text: str, filters: Filters | None = None, sort_by: str = "relevance", page: int = 1, page_size: int = search.PAGE) -> Result:
         r, parsed = self.request(text, filters, sort_by, page, page_size)
-        hits = search.scored(self.index, r).cache()
-        total = hits.count()
-        return Result(cards(search.page(hits, r), r.terms), total, page, search.page_count(total, page_size), r.terms, parsed.hints, parsed.parsed)
+        hits = search.scored(self.index, r).persist()
+        try:
+            total = hits.count()
+            shown = cards(search.page(hits, r), r.terms)
+            rows = self.index.docs.sparkSession.createDataFrame(shown.collect(), shown.schema)  # a page
+        finally:
+            hits.unpersist()
+        return Result(rows, total, page, search.page_count(total, page_size), r.terms, parsed.hints, parsed.parsed)
 
     def home(self) -> dict[str, DataFrame]:
         docs = self.index.docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessera", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -21,10 +21,47 @@ def session(name: str = "tessera", cores: int | str = "*", partitions: int = 8)
     )
 
 
+#: Folders that materialised frames of this process lie in, oldest first.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one where none is named (tests)."""
+    """A new folder below the one that all executors share (spark.checkpoint.dir).
+
+    Where none is named, a local run gets a temporary one. On a cluster that would be a disk
+    of each machine's own, so there it is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so that a lost executor costs no recomputation."""
+    path = shared_dir(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
+    _MADE.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point to which release() goes back."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what was materialised since a mark, but for the folder of the frame to keep. Frames that read the rest are lost with it."""
+    kept = " ".join(keep.inputFiles()) if keep is not None else ""
+    rest = []
+    for path in _MADE[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path.rpartition("/")[2] in kept:
+            rest.append(path)
+        else:
+            fs.delete(p, True)
+    _MADE[since:] = rest
