@@ -5,6 +5,10 @@ responses are max-pooled in chunks of ``CHUNK`` bytes that overlap by half. A sm
 layer looks at each chunk; its outputs are combined over the chunks (mean and
 max) into one probability. Backward passes touch only the positions that won a
 maximum, so training costs little more than scoring.
+
+A text is followed by ``WIDTH`` zero bytes, so that the windows reach its last byte and a short
+text has one too. Filters run over ``SLICE`` blocks at a time: beyond a copy of the text,
+memory grows by about two bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from tessera.llm import kernel as K
+
 WIDTH = 8
 STRIDE = 2
 EMBED = 6
@@ -23,18 +29,32 @@ THRESHOLD = 0.3
 _STEP = CHUNK // 2
 
 
+#: Blocks (half chunks) whose windows are convolved at a time.
+SLICE = 1024
+
+
 def _layout(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows of a run, block of each window, row of each block, chunks as pairs of blocks.
+    """Start (in the padded bytes) and number of windows of each block, row of each block, first block of each row.
 
-    A text shorter than the width has no window; every text has one block at least.
+    An empty text has one block without windows.
     """
-    n = np.maximum(0, (np.diff(offsets) - WIDTH) // STRIDE + 1)
+    length = np.diff(offsets)
+    n = np.where(length > 0, np.maximum(1, -(-(length - WIDTH) // STRIDE) + 1), 0)
     per = _STEP // STRIDE
     blocks = np.maximum(1, -(-n // per))
     base = np.cumsum(blocks) - blocks
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(offsets[:-1], n) + inside * STRIDE
-    return starts, np.repeat(base, n) + inside // per, np.repeat(np.arange(len(n)), blocks), base
+    row = np.repeat(np.arange(len(n)), blocks)
+    nth = np.arange(len(row)) - base[row]
+    starts = (offsets[:-1] + WIDTH * np.arange(len(n)))[row] + nth * _STEP
+    return starts, np.clip(n[row] - nth * per, 0, per), row, base
+
+
+def _padded(a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with WIDTH zeros after each text."""
+    out = np.zeros(len(a) + WIDTH * (len(offsets) - 1), np.uint8)
+    for r, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        out[lo + WIDTH * r : hi + WIDTH * r] = a[lo:hi]
+    return out
 
 
 @dataclass
@@ -59,18 +79,37 @@ class Network:
             }
         )
 
+    def pool(self, padded: np.ndarray, starts: np.ndarray, count: np.ndarray, peaks: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Greatest response of each filter in each block, and if asked for where the window of it begins."""
+        p = self.p
+        out = np.zeros((len(count), FILTERS), p["filters"].dtype)
+        peak = np.zeros(out.shape, np.int64) if peaks else None
+        for lo in range(0, len(count), SLICE):
+            own = count[lo : lo + SLICE]
+            filled = np.flatnonzero(own)
+            if not len(filled):
+                continue
+            block = lo + np.repeat(np.arange(len(own)), own)
+            inside = K.concat(own)
+            at = starts[block] + STRIDE * inside
+            first, end = int(at[0]), int(at[-1]) + WIDTH
+            e = p["embed"][padded[first:end]]
+            flat = np.lib.stride_tricks.as_strided(e, (end - first - WIDTH + 1, WIDTH * EMBED), (e.strides[0], e.strides[1]), writeable=False)
+            response = flat[at - first] @ p["filters"]
+            cut = (np.cumsum(own) - own)[filled]
+            out[lo + filled] = np.maximum(np.maximum.reduceat(response, cut, axis=0) + p["filter_bias"], 0)
+            if peaks:
+                w, f = np.nonzero(np.maximum(response + p["filter_bias"], 0) == out[block])
+                peak[block[w], f] = at[w]
+        return out, peak
+
     def forward(self, a: np.ndarray, offsets: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logit of every text of a run; with keep, also what a backward pass needs."""
         p = self.p
-        starts, block_of, row_of_block, base = _layout(offsets)
+        starts, count, row_of_block, base = _layout(offsets)
         n_blocks = len(row_of_block)
-        pooled = np.zeros((n_blocks, FILTERS), p["filters"].dtype)
-        if len(starts):
-            e = p["embed"][a]
-            flat = np.lib.stride_tricks.as_strided(e, (len(a) - WIDTH + 1, WIDTH * EMBED), (e.strides[0], e.strides[1]), writeable=False)
-            response = flat[starts] @ p["filters"]
-            cut = np.flatnonzero(np.diff(block_of, prepend=-1))
-            pooled[block_of[cut]] = np.maximum(np.maximum.reduceat(response, cut, axis=0) + p["filter_bias"], 0)
+        padded = _padded(a, offsets)
+        pooled, peak = self.pool(padded, starts, count, keep)
         chunk = pooled.copy()
         same = np.flatnonzero(row_of_block[1:] == row_of_block[:-1])
         chunk[same] = np.maximum(pooled[same], pooled[same + 1])
@@ -81,7 +120,7 @@ class Network:
         logit = np.concatenate([mean, most], 1) @ p["out"] + p["out_bias"]
         if not keep:
             return logit, {}
-        return logit, {"a": a, "starts": starts, "block_of": block_of, "row": row_of_block, "n": n, "pooled": pooled, "chunk": chunk, "same": same, "hidden": hidden, "mean": mean, "most": most, "response": response if len(starts) else None}
+        return logit, {"padded": padded, "peak": peak, "row": row_of_block, "n": n, "pooled": pooled, "chunk": chunk, "same": same, "hidden": hidden, "mean": mean, "most": most}
 
     def backward(self, c: dict, slope: np.ndarray) -> dict[str, np.ndarray]:
         p, row = self.p, c["row"]
@@ -105,35 +144,24 @@ class Network:
         d_block *= c["pooled"] > 0
         g["filter_bias"] = d_block.sum(0)
         g["filters"], g["embed"] = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
-        if c["response"] is not None:
-            block, f = np.nonzero(d_block)
-            peak = _peaks(c["response"], c["block_of"], c["pooled"], p["filter_bias"])
-            at = c["starts"][peak[block, f]]
-            windows = c["a"][at[:, None] + np.arange(WIDTH)]
-            d = d_block[block, f]
-            inputs = p["embed"][windows].reshape(len(at), -1)
-            order = np.argsort(f, kind="stable")
-            cuts = np.searchsorted(f[order], np.arange(FILTERS + 1))
-            for k in range(FILTERS):
-                own = order[cuts[k] : cuts[k + 1]]
-                g["filters"][:, k] = d[own] @ inputs[own]
-            d_inputs = (d[:, None] * p["filters"].T[f]).reshape(-1, EMBED)
-            for j in range(EMBED):
-                g["embed"][:, j] = np.bincount(windows.ravel(), d_inputs[:, j], 256)
+        block, f = np.nonzero(d_block)
+        windows = c["padded"][c["peak"][block, f][:, None] + np.arange(WIDTH)]
+        d = d_block[block, f]
+        inputs = p["embed"][windows].reshape(len(d), -1)
+        order = np.argsort(f, kind="stable")
+        cuts = np.searchsorted(f[order], np.arange(FILTERS + 1))
+        for k in range(FILTERS):
+            own = order[cuts[k] : cuts[k + 1]]
+            g["filters"][:, k] = d[own] @ inputs[own]
+        d_inputs = (d[:, None] * p["filters"].T[f]).reshape(-1, EMBED)
+        for j in range(EMBED):
+            g["embed"][:, j] = np.bincount(windows.ravel(), d_inputs[:, j], 256)
         return g
 
     def scores(self, a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(a, offsets)[0].astype(np.float64) + self.shift, -40, 40)))
 
 
-def _peaks(response: np.ndarray, block_of: np.ndarray, pooled: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Window at which each filter has its maximum in each block."""
-    peak = np.zeros(pooled.shape, np.int64)
-    at, f = np.nonzero(np.maximum(response + bias, 0) == pooled[block_of])
-    peak[block_of[at], f] = at
-    return peak
-
-
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 

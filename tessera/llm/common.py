@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds at most; long texts make large batches otherwise.
+from tessera.session import mark, materialise, release, shared_dir
+
+__all__ = ["ascii_lower", "drop", "mark", "materialise", "n_words", "other_key", "release", "shared_dir", "shuffle_partitions", "small_batches", "table"]
+
+#: Rows and bytes that one Arrow batch holds at most (a single longer text is a batch of its own).
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 #: The words of most contracts: runs without space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,22 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one all executors share. Only where none is named (tests), a local one is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop(df: DataFrame) -> None:
     """Deletes the files of a materialised frame that nothing reads any more."""
     spark = df.sparkSession
@@ -43,9 +29,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that Python workers hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches that Python workers hold, by rows and by bytes. Plans are made when a result is asked for, so the setting stays; it is only ever lowered."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def other_key(key: Column) -> Column:

@@ -4,8 +4,8 @@ The network is trained on the driver with at most ``SAMPLE`` labelled documents
 label; every document is then scored whole, in numpy, without a shuffle. The model is
 a few thousand numbers, whatever the input.
 
-Defined results: null, empty and very short texts are scored as a text without filter
-responses; repeated rows score equally; without labelled rows, or with one label only,
+Defined results: null and empty texts are scored as a text without filter responses;
+repeated rows score equally; without labelled rows, or with one label only,
 all scores are the share of label 1 (0.5 without any); a null label does not train. Only
 doc_id and text of the documents are read.
 """

@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import byte_cnn as C
+from tessera.llm import labelled as L
 from tessera.llm import quality as Q
 from tests.llm.conftest import ODD
 
@@ -77,3 +79,72 @@ def test_odd_rows_and_tables(spark, make, world):
     none = labels.limit(0)
     assert Q.held_out_scores(make([]), none).count() == 0
     assert {r.score for r in Q.held_out_scores(make(ODD), none).collect()} == {0.5}
+
+
+def test_every_byte_is_seen():
+    """Texts that differ in one byte, the first, the last or any other, have windows that differ."""
+    net = C.Network.fresh(3)
+    for n in (1, 2, 7, 8, 9, 10, 11, 127, 128, 129, 263):
+        text = bytes(97 + i % 23 for i in range(n))
+        for at in {0, n // 2, n - 1}:
+            other = text[:at] + b"Z" + text[at + 1 :]
+            a, b = (C._padded(*C.joined([t])) for t in (text, other))
+            starts, count, *_ = C._layout(np.array([0, n]))
+            seen = {s + C.STRIDE * k + j for s, m in zip(starts, count, strict=True) for k in range(m) for j in range(C.WIDTH)}
+            assert seen >= set(range(n)) and max(seen) < len(a)
+            assert (a != b).sum() == 1
+    assert net.scores(*C.joined([b"abcdefghi"]))[0] != net.scores(*C.joined([b"abcdefghZ"]))[0]
+    assert net.scores(*C.joined([b"a"]))[0] != net.scores(*C.joined([b"b"]))[0]
+
+
+def test_slices_do_not_show(monkeypatch):
+    net = C.Network.fresh(5)
+    r = random.Random(2)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 40_000, 3, 900, 0, 129)]
+    whole = net.scores(*C.joined(texts))
+    monkeypatch.setattr(C, "SLICE", 7)
+    assert np.allclose(whole, net.scores(*C.joined(texts)), atol=1e-6)
+
+
+def plain_logit(net, text):
+    """The network as written down: one window, one chunk, one text at a time."""
+    p = net.p
+    padded = text + bytes(C.WIDTH)
+    n = max(1, -(-(len(text) - C.WIDTH) // C.STRIDE) + 1) if text else 0
+    per = C.CHUNK // 2 // C.STRIDE
+    blocks = [[np.concatenate([p["embed"][b] for b in padded[C.STRIDE * k : C.STRIDE * k + C.WIDTH]]) @ p["filters"] + p["filter_bias"] for k in range(lo, min(n, lo + per))] for lo in range(0, max(n, 1), per)]
+    pooled = [np.maximum(np.max(b, axis=0), 0) if b else np.zeros(C.FILTERS) for b in blocks]
+    chunks = [np.maximum(x, y) for x, y in zip(pooled, [*pooled[1:], pooled[-1]], strict=True)]
+    hidden = [np.maximum(c @ p["hidden"] + p["hidden_bias"], 0) for c in chunks]
+    return float(np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)]) @ p["out"] + p["out_bias"][0])
+
+
+def test_against_plain_network():
+    net = C.Network.fresh(9)
+    r = random.Random(6)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 8, 9, 128, 129, 700)]
+    got = net.forward(*C.joined(texts))[0]
+    assert np.allclose(got, [plain_logit(net, t) for t in texts], atol=1e-4)
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+    pos = label == 1
+    return (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def test_documents(spark):
+    """Held-out labels of a real table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = Q.held_out_scores(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(got) > 50 and auc(got.score.to_numpy(), got.quality.to_numpy()) > 0.85
+    assert (got.predicted == got.quality).mean() > 0.85
+
+
+def test_sample_is_bounded_and_reproducible(spark, make):
+    rows = [(1, "a" * 50), (1, "b" * 10), (2, "c" * 10), (2, "c" * 10), (3, None), (4, "d" * 10**5), (None, "x")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (3, 1, 0), (4, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    runs = [L.sample(make(rows).repartition(n), labels, "quality", F.lit(True), {0: 5, 1: 5}, 1000) for n in (1, 4)]
+    (texts, marks), (again, _) = runs
+    assert texts == again and len(texts) == 2 and marks.tolist() == [1, 1] and texts[1] == b"c" * 10 and texts[0] in (b"a" * 50, b"b" * 10)
+    assert L.sample(make(rows), labels, "quality", F.lit(True), {0: 5, 1: 5}, 5)[0] == []
