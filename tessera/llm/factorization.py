@@ -3,9 +3,12 @@
 Terms are the words of a chunk of ``CHUNK`` words (A-Z lower-cased) and their prefixes,
 hashed to ``BITS`` bits. A chunk's score is linear weights plus pairwise
 interactions of factors, so a pair such as insult and group mention can count for
-more than its parts. A document has the score of its highest chunk: a short insult in
+more than its parts. Chunks overlap by half, so that no pair within half a chunk is cut
+apart. A document has the score of its highest chunk: a short insult in
 a long text is not diluted. Training alternates between choosing the highest
 chunk of each positive document and descending on the chosen chunks.
+
+Texts longer than a run are scored piece by piece, with the same chunks as a whole.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from tessera.llm import kernel as K
 BITS = 18
 FACTORS = 8
 CHUNK = 64
+STEP = CHUNK // 2
 PREFIXES = (4, 5, 6)
 #: Score from which a document counts as positive.
 THRESHOLD = 0.7
+#: Texts of the sample whose terms are taken together, and pairs whose factors are gathered at a time.
+TOGETHER = 32
+PAIRS = 1 << 18
 #: Documents of the sample that a term must occur in to be a feature.
 LEAST_DOCUMENTS = 4
 
@@ -30,25 +37,31 @@ BREAKS[48:58] = BREAKS[97:123] = BREAKS[128:] = False
 _SALTS = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
-def terms(a: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (chunk, bucket) terms of a run of texts, and the row of each chunk; every row has a chunk at least."""
+def word_terms(a: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, words) buckets of the words of a run, and the number of words of each row."""
     low = K.LOWER_ARRAY[a]
     starts, ends, first = K.words(low, offsets, BREAKS)
-    n = np.diff(first)
-    chunks = np.maximum(1, -(-n // CHUNK))
+    keys = [K.word_hash(low, starts, ends)]
+    keys += [K.mix(K.word_hash(low, starts, np.minimum(ends, starts + p)) ^ salt) for p, salt in zip(PREFIXES, _SALTS, strict=True)]
+    return np.stack([(k >> np.uint64(64 - BITS)).astype(np.int32) for k in keys]), np.diff(first)
+
+
+def in_chunks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and the second chunk of each word (often two, at the ends one and the same), and the row of each chunk; n: words per row. Every row has a chunk at least."""
+    chunks = np.maximum(1, -(-n // STEP) - 1)
     base = np.cumsum(chunks) - chunks
-    row_of_chunk = np.repeat(np.arange(len(n)), chunks)
-    chunk = np.repeat(base, n) + K.concat(n) // CHUNK
-    c = K.prefix_sums(low)
-    keys = [K.span_hash(c, starts, ends)]
-    keys += [K.mix(K.span_hash(c, starts, np.minimum(ends, starts + p)) ^ salt) for p, salt in zip(PREFIXES, _SALTS, strict=True)]
-    buckets = np.concatenate([(k >> np.uint64(64 - BITS)).astype(np.int64) for k in keys])
-    return np.tile(chunk, len(keys)), buckets, row_of_chunk
+    block = K.concat(n) // STEP
+    last = np.repeat(chunks - 1, n)
+    at = np.repeat(base, n)
+    return at + np.maximum(np.minimum(block, last + 1) - 1, 0), at + np.minimum(block, last), np.repeat(np.arange(len(n)), chunks)
 
 
-def distinct(chunk: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(chunk << BITS | bucket)
-    return both >> BITS, both & ((1 << BITS) - 1)
+def distinct(buckets: np.ndarray, first: np.ndarray, second: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (chunk, bucket) pairs of the wanted buckets, in order."""
+    keep = wanted[buckets]
+    both = [np.broadcast_to(chunk, buckets.shape)[keep].astype(np.int64) << BITS | buckets[keep] for chunk in (first, second)]
+    pairs = np.unique(np.concatenate(both))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 @dataclass
@@ -63,18 +76,48 @@ class Machine:
         self.active = (self.linear != 0) | self.factors.any(1)
 
     def chunk_scores(self, chunk: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
-        total = self.bias + np.bincount(chunk, self.linear[bucket], n)
-        for f in range(self.factors.shape[1]):
-            v = self.factors[bucket, f]
-            total += 0.5 * (np.bincount(chunk, v, n) ** 2 - np.bincount(chunk, v * v, n))
-        return total
-
-    def raw_scores(self, a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        chunk, bucket, row = terms(a, offsets)
-        keep = self.active[bucket]
-        chunk, bucket = distinct(chunk[keep], bucket[keep])
-        scores = self.chunk_scores(chunk, bucket, len(row))
-        return np.maximum.reduceat(scores, np.searchsorted(row, np.arange(len(offsets) - 1))) if len(row) else np.zeros(0)
+        """Scores of n chunks from their sorted (chunk, bucket) pairs, so many pairs at a time."""
+        total = np.full(n, self.bias)
+        sums, squares = np.zeros((n, self.factors.shape[1])), np.zeros(n)
+        for k in range(0, len(chunk), PAIRS):
+            own, b = chunk[k : k + PAIRS], bucket[k : k + PAIRS]
+            lo, hi = int(own[0]), int(own[-1]) + 1
+            own = own - lo
+            total[lo:hi] += np.bincount(own, self.linear[b], hi - lo)
+            for f in range(self.factors.shape[1]):
+                v = self.factors[b, f]
+                sums[lo:hi, f] += np.bincount(own, v, hi - lo)
+                squares[lo:hi] += np.bincount(own, v * v, hi - lo)
+        return total + 0.5 * ((sums**2).sum(1) - squares)
+
+    def raw_scores(self, a: np.ndarray, offsets: np.ndarray, run_bytes: int = K.RUN_BYTES) -> np.ndarray:
+        if len(offsets) == 2 and len(a) > 2 * run_bytes:
+            return np.array([self._long_score(a, run_bytes)])
+        buckets, n = word_terms(a, offsets)
+        return self._of_words(buckets, n)
+
+    def _of_words(self, buckets: np.ndarray, n: np.ndarray) -> np.ndarray:
+        first, second, row = in_chunks(n)
+        scores = self.chunk_scores(*distinct(buckets, first, second, self.active), len(row))
+        return np.maximum.reduceat(scores, np.searchsorted(row, np.arange(len(n)))) if len(row) else np.zeros(0)
+
+    def _long_score(self, a: np.ndarray, run_bytes: int) -> float:
+        """The score of one text, whose words come piece by piece; words of chunks that aren't whole yet are held."""
+        best, at, held = -np.inf, 0, None
+        while at < len(a):
+            end = min(at + run_bytes, len(a))
+            while end < len(a) and not BREAKS[K.LOWER_ARRAY[a[end]]]:
+                end += 1
+            part, _ = word_terms(a[at:end], np.array([0, end - at]))
+            held = part if held is None else np.concatenate([held, part], axis=1)
+            whole = held.shape[1] // STEP - 1
+            if whole > 0:
+                best = max(best, float(self._of_words(held[:, : (whole + 1) * STEP], np.array([(whole + 1) * STEP]))[0]))
+                held = held[:, whole * STEP :]
+            at = end
+        if best == -np.inf or held.shape[1] > STEP:
+            best = max(best, float(self._of_words(held, np.array([held.shape[1]]))[0]))
+        return best
 
     def scores(self, a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * self.raw_scores(a, offsets) + self.shift)
@@ -96,12 +139,13 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int =
         share = float(labels.mean()) if len(texts) else 0.0
         return Machine(0.0, np.zeros(size), np.zeros((size, FACTORS)), 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     seen, positive = np.zeros(size), np.zeros(size)
-    for k in range(0, len(texts), 128):
-        chunk, bucket, row = terms(*joined(texts[k : k + 128]))
-        of_doc = np.unique(row[chunk] << BITS | bucket)
+    for k in range(0, len(texts), TOGETHER):
+        part = texts[k : k + TOGETHER]
+        buckets, n = word_terms(*joined(part))
+        of_doc = np.unique(np.broadcast_to(np.repeat(np.arange(len(part)), n), buckets.shape).astype(np.int64) << BITS | buckets)
         b = of_doc & (size - 1)
         seen += np.bincount(b, minlength=size)
-        positive += np.bincount(b, labels[k : k + 128][of_doc >> BITS], size)
+        positive += np.bincount(b, labels[k : k + TOGETHER][of_doc >> BITS], size)
     usable = seen >= LEAST_DOCUMENTS
     n_pos, n_neg = labels.sum(), (1 - labels).sum()
     linear = np.where(usable, np.log((positive + 0.5) / (n_pos + 1)) - np.log((seen - positive + 0.5) / (n_neg + 1)), 0.0)
@@ -139,36 +183,39 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int =
 
 
 def _all_terms(texts: list[bytes], usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    chunks, buckets, rows, n_chunks, n_rows = [], [], [], 0, 0
-    for k in range(0, len(texts), 128):
-        part = texts[k : k + 128]
-        chunk, bucket, row = terms(*joined(part))
-        keep = usable[bucket]
-        chunk, bucket = distinct(chunk[keep], bucket[keep])
+    chunks, buckets, rows, n_chunks = [], [], [], 0
+    for k in range(0, len(texts), TOGETHER):
+        words, n = word_terms(*joined(texts[k : k + TOGETHER]))
+        first, second, row = in_chunks(n)
+        chunk, bucket = distinct(words, first, second, usable)
         chunks.append((chunk + n_chunks).astype(np.int32))
         buckets.append(bucket.astype(np.int32))
-        rows.append(row + n_rows)
+        rows.append((row + k).astype(np.int32))
         n_chunks += len(row)
-        n_rows += len(part)
     return np.concatenate(chunks), np.concatenate(buckets), np.concatenate(rows)
 
 
+def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows with each place; at is sorted."""
+    out = np.zeros((n, values.shape[1]))
+    cut = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(cut):
+        out[at[cut]] = np.add.reduceat(values, cut, axis=0)
+    return out
+
+
 def _descend(machine: Machine, square: list[np.ndarray], sets: list[np.ndarray], target: np.ndarray, rate: float, decay: float) -> None:
     """One Adagrad step on a batch of chunks."""
     sizes = [len(s) for s in sets]
     chunk, bucket = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
     v = machine.factors[bucket]
-    sums = np.zeros((len(sets), v.shape[1]))
-    np.add.at(sums, chunk, v)
-    squares = np.zeros_like(sums)
-    np.add.at(squares, chunk, v * v)
+    sums, squares = _sums(v, chunk, len(sets)), _sums(v * v, chunk, len(sets))
     score = machine.bias + np.bincount(chunk, machine.linear[bucket], len(sets)) + 0.5 * (sums**2 - squares).sum(1)
     slope = (sigmoid(score) - target) / len(sets)
     used, at = np.unique(bucket, return_inverse=True)
     g_linear = np.bincount(at, slope[chunk]) + decay * machine.linear[used]
-    g_factors = np.zeros((len(used), v.shape[1]))
-    np.add.at(g_factors, at, slope[chunk, None] * (sums[chunk] - v))
-    g_factors += decay * machine.factors[used]
+    order = np.argsort(at, kind="stable")
+    g_factors = _sums((slope[chunk, None] * (sums[chunk] - v))[order], at[order], len(used)) + decay * machine.factors[used]
     square[0][used] += g_linear**2
     square[1][used] += g_factors**2
     square[2] += slope.sum() ** 2
