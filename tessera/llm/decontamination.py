@@ -2,12 +2,16 @@
 
 The normalised test items form one automaton. Document tokens stream through it while
 the longest match is tracked; where it reaches ``WINDOW`` tokens, or a whole item
-that is shorter, the matched words are hit. Only stretches of tokens that all occur
-in the items, and are long enough for a window, are streamed; numpy finds them.
+that is shorter, the matched words are hit and the automaton's state tells the items. Only
+stretches of tokens that all occur in the items, and are long enough for a window, are
+streamed; numpy finds them.
 
-No shuffle takes place. The automaton goes to the executors with the task, so its
-size is bounded: at most ``BLOCK_WORDS`` item words at a time. Larger benchmarks run
-in blocks of items, whose hits are merged per document by a groupBy.
+No shuffle takes place. Automata go to the executors as broadcasts of bounded size: at most
+``BLOCK_WORDS`` item words each, about 100 bytes a word. A larger benchmark has several. Then one
+pass over the documents finds those that hold the hash of some window (8 bytes a
+benchmark word in each worker), and these alone, a table of their own, meet the automata one after
+another; hits of all blocks are merged before anything is judged or cut, so that
+the size of the blocks doesn't show.
 
 Defined results: A-Z are lower-cased; words are runs of a-z, 0-9 and non-ASCII bytes;
 null or empty texts have no words, no hits and are clean; items without words (null
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernel as K
-from tessera.llm.common import small_batches
+from tessera.llm.common import materialise, small_batches
 from tessera.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW = 13
 #: Least percentage of a document's words that must be hit to make it contaminated.
 COVERAGE = 5
-#: Words of the items in one automaton; about 1 KB a word in each worker.
+#: Words of the items in one automaton, more only for a single longer item; about 1 KB a word where it is built, 100 bytes where it is used.
 BLOCK_WORDS = 200_000
 
 #: Bytes that end a word: ASCII but digits and letters (upper case goes to lower first).
@@ -44,31 +49,30 @@ class Matcher:
     """The automaton of some items with what is needed to stream documents through it."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        sequences: list[tuple[str, list[int]]] = []
+        self.items: list[str] = []
+        sequences: list[list[int]] = []
         for item, text in items:
             tokens = tokens_of(text)
             if tokens:
-                sequences.append((str(item), [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens]))
-        self.items = [item for item, _ in sequences]
-        self.automaton = SuffixAutomaton()
-        for _, s in sequences:
-            self.automaton.add(s)
-        self.automaton.mark([(s, k) for k, (_, s) in enumerate(sequences) if len(s) < window])
-        self.of_window: dict[tuple[int, ...], set[int]] = {}
-        for k, (_, s) in enumerate(sequences):
-            for i in range(len(s) - window + 1):
-                self.of_window.setdefault(tuple(s[i : i + window]), set()).add(k)
-        self.shortest = min([window, *(len(s) for _, s in sequences)])
+                self.items.append(str(item))
+                sequences.append([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens])
+        automaton = SuffixAutomaton()
+        for s in sequences:
+            automaton.add(s)
+        self.automaton = automaton.packed(sequences, window)
+        self.window = window
+        self.shortest = min([window, *self.automaton.windows])
         known = list(self.vocabulary)
         at = np.cumsum([0, *map(len, known)])
         hashes = K.word_hash(np.frombuffer(b"".join(known), np.uint8), at[:-1], at[1:]) if known else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order
+        own = [hashes[np.array(s)] for s in sequences]
+        self.windows = {n: np.unique(np.concatenate([grams(h, n) for h in own if min(window, len(h)) == n])) for n in self.automaton.windows}
 
-    def token_ids(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Ids of a run's words in the items' vocabulary, -1 for others. A hash only proposes an id; its bytes decide where stretches are streamed."""
+    def token_ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words in the items' vocabulary, -1 for others. A hash only proposes an id; its bytes decide where stretches are streamed."""
         if not len(self.hashes) or not len(hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -78,22 +82,23 @@ class Matcher:
         """Hit spans (half-open, may overlap) and the items with occurring windows."""
         sa, spans, found = self.automaton, [], set()
         state = matched = 0
-        window = self.window
         for i, token in enumerate(tokens):
-            state, matched = sa.step(state, matched, token)
-            if matched >= window:
-                spans.append((i + 1 - window, i + 1))
-                found |= self.of_window[tuple(tokens[i + 1 - window : i + 1])]
-            if sa.ends:
-                s = state
-                while s >= 0:
-                    if s in sa.ends and sa.length[s] <= matched:
-                        spans.append((i + 1 - sa.length[s], i + 1))
-                        found.update(sa.ends[s])
-                    s = sa.next_end[s]
+            state, matched = sa.step(state, matched, token) if token >= 0 else (0, 0)
+            if matched >= self.shortest:
+                for n, items in sa.found(state, matched):
+                    spans.append((i + 1 - n, i + 1))
+                    found.update(items)
         return spans, found
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive words."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)]
+    return K.mix(out)
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     a = np.frombuffer((text or "").encode().translate(K.LOWER), np.uint8)
     starts, ends, _ = K.words(a, np.array([0, len(a)]), BREAKS)
@@ -118,7 +123,7 @@ def matches(batch_text: pa.Array, matcher: Matcher) -> Iterator[tuple[int, np.nd
         n = np.diff(first)
         row = np.repeat(np.arange(j - i), n)
         raw = low.tobytes()
-        ids = matcher.token_ids(raw, K.word_hash(low, starts, ends), starts, ends)
+        ids = matcher.token_ids(K.word_hash(low, starts, ends))
         hits: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
         items: list[set[int]] = [set() for _ in range(j - i)]
         for lo, hi in _stretches(ids >= 0, row, matcher.shortest):
@@ -142,20 +147,61 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of bounded size: one, unless the benchmark is larger than the bound."""
+    """The items in blocks of bounded size, one at a time: one, unless the benchmark is larger than the bound."""
     items = benchmark.select("item_id", "text").distinct()
-    size = int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // 2  # a word has two characters at least, with its end
-    cuts = max(1, -(-size // block_words))
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    cuts = max(1, -(-int(size) // block_words))
     for k in range(cuts):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == k).collect()]
 
 
+def _broadcast(documents: DataFrame, benchmark: DataFrame, window: int, block_words: int):
+    """Broadcasts of the automata, and if there are several of the hashes of all windows by their length."""
+    context = documents.sparkSession.sparkContext
+    matchers, windows = [], {}
+    for items in blocks(benchmark, block_words):
+        matcher = Matcher(items, window)
+        for n, own in matcher.windows.items():
+            windows[n] = np.union1d(windows[n], own) if n in windows else own
+        matcher.windows = {}
+        matchers.append(context.broadcast(matcher))
+    return matchers, context.broadcast(windows) if len(matchers) > 1 else None
+
+
+def _may_hit(text: pa.Array, windows: dict[int, np.ndarray]) -> np.ndarray:
+    """Which rows hold the hash of a window."""
+    out = np.zeros(len(text), bool)
+    for i, j, a, offsets in K.runs(text):
+        low = K.LOWER_ARRAY[a]
+        starts, ends, first = K.words(low, offsets, BREAKS)
+        hashes = K.word_hash(low, starts, ends)
+        row = np.repeat(np.arange(j - i), np.diff(first))
+        for n, known in windows.items():
+            own = grams(hashes, n)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = np.flatnonzero(known[at] == own)
+            hit = hit[row[hit] == row[hit + n - 1]]
+            out[i + row[hit]] = True
+    return out
+
+
+def _split(windows, text_at: int, near: bool):
+    """The rows that may be hit, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_hit(batch.column(text_at), windows.value) == near))
+
+    return run
+
+
 _HITS = "n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _hits(matcher: Matcher, keep: list[str]):
+def _hits(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = shared.value
         for batch in batches:
             n_words, spans, items = [], [], []
             for _, n, hits, found, *_ in matches(batch["text"], matcher):
@@ -184,23 +230,24 @@ def _verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    spark = documents.sparkSession
-    small_batches(spark)
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     verdict = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    own = blocks(benchmark, block_words)
-    matchers = [Matcher(items, window) for items in own]
-    if len(matchers) == 1:
+    matchers, windows = _broadcast(documents, benchmark, window, block_words)
+    if windows is None:
         return docs.mapInArrow(_hits(matchers[0], ["doc_id"]), f"doc_id long, {_HITS}").mapInArrow(_verdict, verdict)
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    parts = [keyed.mapInArrow(_hits(m, ["doc_id", "text_hash"]), f"doc_id long, text_hash long, {_HITS}").withColumn("block", F.lit(k)) for k, m in enumerate(matchers)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    # Rows that share doc_id and text are equal; they are merged once and given back as often as they came.
-    whole = every.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"), F.sum(F.when(F.col("block") == 0, 1)).alias("copies"))
-    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return whole.select("doc_id", "n_words", "spans", "items").mapInArrow(_verdict, verdict)
+    near = materialise(docs.mapInArrow(_split(windows, 1, True), docs.schema).withColumn("row_no", F.monotonically_increasing_id()))
+    parts = [near.mapInArrow(_hits(m, ["doc_id", "row_no"]), f"doc_id long, row_no long, {_HITS}") for m in matchers]
+    whole = reduce(DataFrame.unionByName, parts).groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    clean = docs.mapInArrow(_split(windows, 1, False), docs.schema).mapInArrow(_unhit, f"doc_id long, {_HITS}")
+    return whole.select("doc_id", "n_words", "spans", "items").unionByName(clean).mapInArrow(_verdict, verdict)
+
+
+def _unhit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words = [n for _, _, a, offsets in K.runs(batch["text"]) for n in np.diff(K.words(K.LOWER_ARRAY[a], offsets, BREAKS)[2]).tolist()]
+        none = [[]] * len(n_words)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(none, _SPANS), pa.array(none, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
 
 def _cut(raw: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> str:
@@ -218,16 +265,19 @@ def _without_hits(hits_of, text_at: int, length_at: int | None, schema: pa.Schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], batch.column(text_at).to_pylist()
+            lengths = None if length_at is None else batch.column(length_at).to_pylist()
             for i, n, hits, _, starts, ends, first in hits_of(batch):
                 for r, spans in enumerate(hits):
                     hit = sum(hi - lo for lo, hi in spans)
                     keep.append(not hit or 100 * hit < coverage * int(n[r]))
                     if hit and keep[-1]:
                         texts[i + r] = _cut(texts[i + r].encode(), spans, starts[first[r] : first[r + 1]], ends[first[r] : first[r + 1]])
+                        if lengths is not None:
+                            lengths[i + r] = len(texts[i + r])
             arrays = list(batch.columns)[: len(schema)]
             arrays[text_at] = pa.array(texts, schema.field(text_at).type)
-            if length_at is not None:
-                arrays[length_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(schema.field(length_at).type)
+            if lengths is not None:
+                arrays[length_at] = pa.array(lengths, schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=schema).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -261,21 +311,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     names = list(types)
     same = T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema.fields])
     at = names.index("text"), names.index("n_chars") if "n_chars" in types else None
-    matchers = [Matcher(items, window) for items in blocks(benchmark, block_words)]
-    if len(matchers) == 1:
-        return documents.mapInArrow(_without_hits(lambda batch: matches(batch.column(at[0]), matchers[0]), *at, schema, coverage), same)
-    # Each block is matched against the original text; its spans travel, and all are judged and cut at once.
-    texts = documents.select(F.xxhash64("doc_id", "text").alias("text_key"), "text")
-    found = [texts.mapInArrow(_hits(m, ["text_key"]), f"text_key long, {_HITS}").where("size(spans) > 0").select("text_key", "spans") for m in matchers]
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    every = every.groupBy("text_key").agg(F.flatten(F.collect_set("spans")).alias("spans")).select(F.bitwise_not("text_key").alias("not_key"), "spans")
-    # The added columns stand last and under names of their own, whatever the documents' are.
-    added = "_" * (1 + max(map(len, names)))
-    every = every.select(F.col("not_key").alias(f"{added}k"), F.col("spans").alias(f"{added}s"))
-    whole = documents.join(every, F.bitwise_not(F.xxhash64("doc_id", "text")) == F.col(f"{added}k"), "left").select(*names, f"{added}s")
-    return whole.mapInArrow(_without_hits(_held_hits, *at, schema, coverage), same)
+    matchers, windows = _broadcast(documents, benchmark, window, block_words)
+    if windows is None:
+        return documents.mapInArrow(_without_hits(lambda batch: matches(batch.column(at[0]), matchers[0].value), *at, schema, coverage), same)
+    # Each block is matched against the original text; all spans are judged and cut at once. The
+    # added columns stand last and under names of their own, whatever the documents' are.
+    key = "_" * (1 + max(map(len, names)))
+    near = materialise(documents.mapInArrow(_split(windows, at[0], True), same).withColumn(key, F.monotonically_increasing_id()))
+    texts = near.select(F.col(key).alias("row_no"), "text")
+    parts = [texts.mapInArrow(_hits(m, ["row_no"]), f"row_no long, {_HITS}").where("size(spans) > 0").select("row_no", "spans") for m in matchers]
+    every = reduce(DataFrame.unionByName, parts).groupBy("row_no").agg(F.flatten(F.collect_list("spans")).alias(f"{key}s")).withColumnRenamed("row_no", f"{key}k")
+    hit = near.join(every, F.col(key) == F.col(f"{key}k"), "left").select(*names, f"{key}s")
+    clean = documents.mapInArrow(_split(windows, at[0], False), same)
+    return hit.mapInArrow(_without_hits(_held_hits, *at, schema, coverage), same).unionByName(clean)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -6,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tessera.llm import decontamination as D
+from tessera.llm.suffix_automaton import SuffixAutomaton
 from tests.llm.conftest import ODD
 
 
@@ -111,3 +113,40 @@ def test_blocks_decontaminate_as_one(spark, make, world, block):
     assert parts.columns == df.columns
     assert Counter(map(tuple, parts.collect())) == one
     assert sum(one.values()) < len(rows)
+
+
+def test_coverage_over_blocks(spark, make):
+    """Two items of 13 words each cover 5 % of a document together; however small the blocks, it goes."""
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(13))) for k in range(2)]
+    words = [f"f{i}" for i in range(460)]
+    words[300:300], words[100:100] = items[1][1].split(), items[0][1].split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:200]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (10, 1000):
+        got = D.contamination(make(rows), bench, block_words=block).orderBy("doc_id").collect()
+        assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(26, 2, True), (13, 1, True)]
+        assert D.decontaminate(make(rows), bench, block_words=block).count() == 0
+
+
+def test_automaton_against_plain_search():
+    r = random.Random(9)
+    for window in (3, 5):
+        for _ in range(40):
+            seqs = [[r.randrange(4) for _ in range(r.randrange(1, 14))] for _ in range(r.randrange(1, 6))]
+            automaton = SuffixAutomaton()
+            for s in seqs:
+                automaton.add(s)
+            packed = pickle.loads(pickle.dumps(automaton.packed(seqs, window)))
+            stream = [r.randrange(5) for _ in range(60)]
+            state = matched = 0
+            for i, token in enumerate(stream):
+                state, matched = packed.step(state, matched, token)
+                ending = [stream[i + 1 - n : i + 1] for n in range(1, i + 2)]
+                longest = max((len(x) for x in ending if any(x == s[k : k + len(x)] for s in seqs for k in range(len(s)))), default=0)
+                assert matched == longest
+                want = {}
+                for k, s in enumerate(seqs):
+                    n = min(window, len(s))
+                    if i + 1 >= n and any(stream[i + 1 - n : i + 1] == s[j : j + n] for j in range(len(s) - n + 1)):
+                        want.setdefault(n, set()).add(k)
+                assert {n: set(x) for n, x in packed.found(state, matched)} == want
