@@ -12,7 +12,8 @@ What keeps the shuffles small and even:
 * Equal super-k-mers (copies, common passages) are folded by digest before their
   string travels, and a bucket with a single distinct super-k-mer needs no string.
 * A bucket of more than ``BUCKET`` distinct super-k-mers is not gathered: its windows
-  are counted by digest with map-side sums instead.
+  are counted by digest with map-side sums instead. Such buckets are known by a count, and their
+  keys are broadcast while they are few, so that their super-k-mers stay where they lie.
 * Joins from many occurrences to one verdict are left to adaptive skew splitting.
 
 Defined results: null text has no words; rows are told apart by doc_id and text, and
@@ -39,6 +40,8 @@ from tessera.llm.common import materialise, other_key, small_batches
 
 #: Distinct super-k-mers that one task gathers for a bucket.
 BUCKET = 2048
+#: Keys of larger buckets that are broadcast (8 bytes each); more are joined by a shuffle.
+MOST_KEYS = 1 << 20
 
 _ROW = "doc_id long, text_hash long"
 _KMER = "array<struct<bucket:long,digest:binary,packed:binary,start:int,n:int>>"
@@ -96,33 +99,43 @@ def _pack(window: int):
     return run
 
 
-def _spans(hits: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted indices as half-open spans."""
-    cut = np.flatnonzero(np.diff(hits) != 1) + 1
-    return [(int(x[0]), int(x[-1]) + 1) for x in np.split(hits, cut) if len(x)]
-
-
 def _windows(packed: bytes, window: int) -> list[bytes]:
     words = packed.split(b" ")
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
 def _judge_bucket(rows: list[tuple[bytes, bytes, int]], window: int) -> list[tuple[bytes, int, int]]:
-    """Sorts the windows of a bucket; digest and span of those that occur twice. rows: digest, packed, copies."""
-    found = [(text, k, i) for k, (_, packed, _) in enumerate(rows) for i, text in enumerate(_windows(packed, window))]
-    found.sort()
-    hits: dict[int, list[int]] = defaultdict(list)
-    at = 0
-    while at < len(found):
-        end, total = at, 0
-        while end < len(found) and found[end][0] == found[at][0]:
-            total += rows[found[end][1]][2]
-            end += 1
-        if total > 1:
-            for _, k, i in found[at:end]:
-                hits[k].append(i)
-        at = end
-    return [(rows[k][0], lo, hi) for k, x in hits.items() for lo, hi in _spans(np.sort(np.array(x)))]
+    """Sorts the windows of a bucket; digest and span of those that occur twice. rows: digest, packed, copies.
+
+    Places are sorted, not copies of the windows: by a hash of their bytes first, and where
+    hashes are equal the bytes themselves decide.
+    """
+    texts = [packed for _, packed, _ in rows]
+    a = np.frombuffer(b" ".join(texts), np.uint8)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, ends, first = K.words(a, np.minimum(at, len(a)))
+    n = np.maximum(np.diff(first) - window + 1, 0)
+    row = np.repeat(np.arange(len(rows)), n)
+    word = first[:-1][row] + K.concat(n)
+    lo, hi = starts[word], ends[word + window - 1]
+    key = K.span_hash(K.prefix_sums(a), lo, hi)
+    raw = a.tobytes()
+    copies = np.array([c for *_, c in rows])
+    twice = copies[row] > 1
+    order = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] ^ np.uint64(1)))
+    sizes = np.diff(np.append(begins, len(order)))
+    for at, size in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        own: dict[bytes, list[int]] = defaultdict(list)
+        for k in order[at : at + size].tolist():
+            own[raw[lo[k] : hi[k]]].append(k)
+        for same in own.values():
+            if len(same) > 1:
+                twice[same] = True
+    inside = word - first[:-1][row]
+    hit = np.flatnonzero(twice)
+    parts = np.split(hit, np.flatnonzero((np.diff(hit) != 1) | (np.diff(row[hit]) != 0)) + 1) if len(hit) else []
+    return [(rows[row[x[0]]][0], int(inside[x[0]]), int(inside[x[-1]]) + 1) for x in parts]
 
 
 _VERDICT = pa.schema([("digest", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -186,6 +199,12 @@ def _apply(window: int):
     return run
 
 
+def _keys(buckets: DataFrame, name: str) -> DataFrame:
+    """The keys of some buckets, broadcast if they are few enough by count."""
+    keys = buckets.select(F.col("bucket").alias(name))
+    return F.broadcast(keys) if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS else keys
+
+
 def repeated_spans(documents: DataFrame, window: int = S.WINDOW) -> tuple[DataFrame, DataFrame]:
     """The documents (one row each, with text where anything may go) and, by doc_id and text_hash, the spans of repeated windows."""
     spark = documents.sparkSession
@@ -202,15 +221,17 @@ def repeated_spans(documents: DataFrame, window: int = S.WINDOW) -> tuple[DataFr
     )
     kmers = packed.where(F.size("kmers") > 0).select("doc_id", "text_hash", F.explode("kmers").alias("k")).select("doc_id", "text_hash", "k.*")
     distinct = materialise(kmers.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"), F.first("n").alias("n")))
-    many = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("distinct"))
-    by_bucket = distinct.join(many.select(F.reverse(F.col("bucket").cast("string")).alias("other"), "distinct"), F.reverse(F.col("bucket").cast("string")) == F.col("other"))
-    alone = by_bucket.where("distinct = 1 and copies > 1").select("digest", F.lit(0).alias("lo"), F.col("n").alias("hi"))
-    open_ = by_bucket.where("distinct > 1 or copies = 1")
-    gathered = open_.where(F.col("distinct") <= BUCKET).select("bucket", "digest", "packed", "copies").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), "digest binary, lo int, hi int")
-    single = open_.where(F.col("distinct") > BUCKET).select("digest", "packed", "copies").mapInArrow(_single_windows(window), "digest binary, lo int, window binary, copies long")
+    # Aggregates alone tell what a bucket holds; no join sends a hot bucket's super-k-mers to one task.
+    per_bucket = materialise(distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("distinct"), F.max("copies").alias("copies"), F.first("digest").alias("digest"), F.first("n").alias("n")))
+    alone = per_bucket.where("distinct = 1 and copies > 1").select("digest", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    hot = _keys(per_bucket.where(F.col("distinct") > BUCKET), "hot")
+    done = per_bucket.where("distinct = 1 and copies > 1").select(other_key(F.col("bucket").cast("string")).alias("done"))
+    open_ = distinct.join(hot, F.col("bucket") == F.col("hot"), "left_anti").join(done, other_key(F.col("bucket").cast("string")) == F.col("done"), "left_anti")
+    gathered = open_.select("bucket", "digest", "packed", "copies").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), "digest binary, lo int, hi int")
+    single = distinct.join(hot, F.col("bucket") == F.col("hot"), "left_semi").select("digest", "packed", "copies").mapInArrow(_single_windows(window), "digest binary, lo int, window binary, copies long")
     twice = single.groupBy("window").agg(F.sum("copies").alias("total")).where("total > 1").select(other_key(F.hex("window")).alias("other"))
-    hot = single.join(twice, other_key(F.hex("window")) == F.col("other")).select("digest", "lo", (F.col("lo") + 1).alias("hi"))
-    verdicts = alone.unionByName(gathered).unionByName(hot).select(F.col("digest").alias("judged"), "lo", "hi")
+    hot_hits = single.join(twice, other_key(F.hex("window")) == F.col("other")).select("digest", "lo", (F.col("lo") + 1).alias("hi"))
+    verdicts = alone.unionByName(gathered).unionByName(hot_hits).select(F.col("digest").alias("judged"), "lo", "hi")
     spans = kmers.select("doc_id", "text_hash", "digest", "start").join(verdicts, F.col("digest") == F.col("judged"))
     spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
     return packed, spans

@@ -54,3 +54,26 @@ def test_empty_table(make):
 def test_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert run(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35) == brute(rows, 35)
+
+
+def test_bucket_against_plain_count():
+    r = random.Random(7)
+    for window in (2, 3, 35):
+        for _ in range(30):
+            rows = [(bytes([k]), " ".join(r.choice(["a", "b", "ab", "é"]) for _ in range(r.randrange(window, window + 9))).encode(), r.choice([1, 1, 1, 2])) for k in range(r.randrange(1, 9))]
+            seen = Counter()
+            for _, packed, copies in rows:
+                for w in D._windows(packed, window):
+                    seen[w] += copies
+            want = {(d, i) for d, packed, _ in rows for i, w in enumerate(D._windows(packed, window)) if seen[w] > 1}
+            assert {(d, i) for d, lo, hi in D._judge_bucket(rows, window) for i in range(lo, hi)} == want
+
+
+def test_many_hot_keys(make, monkeypatch):
+    """Where the keys of hot buckets are too many to be broadcast, a shuffle gives the same."""
+    monkeypatch.setattr(D, "BUCKET", 2)
+    monkeypatch.setattr(D, "MOST_KEYS", 0)
+    r = random.Random(1)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(k, " ".join([f"w{r.randrange(99)}" for _ in range(r.randrange(60))] + passage[k % 7 :] + [f"u{k}"] * (k % 3))) for k in range(60)]
+    assert run(make(rows), 35) == brute(rows, 35)
