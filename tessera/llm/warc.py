@@ -1,9 +1,14 @@
 """WARC archives on Spark: writing, reading, and revisit resolution.
 
-Records are built as DataFrame expressions and written by Spark's text sink, whose
-line separator is the blank line pair that ends a WARC record; the files are
-plain WARC 1.1, gzipped whole. They are read with the binaryFile source and parsed by
-Content-Length, so payloads may hold any bytes. Both go through Hadoop paths.
+Records are built as DataFrame expressions. Each is packed as a gzip member of its own, as WARC
+readers that seek expect, and Spark's text sink writes the members; its separator is an empty
+member, which unpacks to nothing. A file is closed once it holds ``FILE_BYTES``, so that only a single
+longer record makes a longer one. Files are named part-*.warc.gz by a rename when all are written.
+
+Archives are read with the text source, whose separator is the blank line and the start of the next
+record's first line. It streams any file through the gzip codec, all members of it, and a
+record is a row. Content-Length decides where a record ends: a payload that holds the separator is put
+together again from its rows. Both go through Hadoop paths.
 
 Revisit resolution shuffles headers only: page id, digest and length are grouped by
 digest (pre-aggregated, so that a hot payload is no hot task), groups of one drop
@@ -15,7 +20,8 @@ Defined results: a null payload is empty; payloads shorter than ``min_bytes`` ar
 revisits; of equal payloads the record with the least page id is the response, and
 rows that repeat that page id are responses too; a null page id is written without
 the header, reads back as null, and is never preferred; line breaks in a URL are dropped; a
-null URL has no header. An empty table gives an empty archive.
+null URL has no header. An empty table gives an empty archive. A file that ends inside a record is an
+error. Records of other types are read with their block as payload.
 """
 
 from __future__ import annotations
@@ -23,21 +29,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shared_dir
+from tessera.llm.common import materialise, shared_dir, small_batches
 
-#: Mean size of an archive's files before gzip; readers hold one file at a time.
-FILE_BYTES = 32 << 20
+#: Packed bytes after which a file of an archive is closed.
+FILE_BYTES = 256 << 20
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
+_NEXT = b"\r\n\r\nWARC/1."
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -108,7 +115,7 @@ def response_records(rows: DataFrame, date: str = DATE) -> DataFrame:
     """One column, the whole record (without its end) of rows with page_id, uri, payload, payload_bytes, payload_digest."""
     http = _http(F.col("payload_bytes"))
     head = F.concat(F.lit("WARC/1.1\r\n"), _lines(*_common("response", http, F.col("payload_bytes"), date)), F.lit(_END), http)
-    return rows.select(F.concat(head.cast("binary"), F.col("payload")).cast("string").alias("record"))
+    return rows.select(F.concat(head.cast("binary"), F.col("payload")).alias("record"))
 
 
 def revisit_records(revisits: DataFrame, date: str = DATE) -> DataFrame:
@@ -121,12 +128,44 @@ def revisit_records(revisits: DataFrame, date: str = DATE) -> DataFrame:
         ("WARC-Refers-To-Date", F.lit(date)),
         ("Refers-To-Page-ID", F.col("refers_to").cast("string")),
     ]
-    return revisits.select(F.concat(F.lit("WARC/1.1\r\n"), _lines(*_common("revisit", http, F.lit(0), date), *more), F.lit(_END), http).alias("record"))
+    return revisits.select(F.concat(F.lit("WARC/1.1\r\n"), _lines(*_common("revisit", http, F.lit(0), date), *more), F.lit(_END), http).cast("binary").alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, mean_bytes: float) -> None:
-    per_file = max(1, int(FILE_BYTES / max(1.0, mean_bytes)))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def _members(file_bytes: int):
+    """Each record as a gzip member, and the number of the task's file that it goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        for batch in batches:
+            members, numbers = [], []
+            for record in batch["record"]:
+                members.append(gzip.compress(record.as_py() + b"\r\n\r\n", 6, mtime=0))
+                numbers.append(number)
+                size += len(members[-1])
+                if size >= file_bytes:
+                    number, size = number + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(numbers, pa.int32())], ["member", "file_no"])
+
+    return run
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes records (a binary column without their end) as files of gzip members."""
+    spark = records.sparkSession
+    small_batches(spark)
+    members = records.select("record").mapInArrow(_members(file_bytes), "member binary, file_no int")
+    separator = {"lineSep": _EMPTY_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1"}
+    members.select(F.col("member").cast("string"), "file_no").write.options(**separator).partitionBy("file_no").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(hadoop(f"{path}/file_no=*")) or []:
+        number = folder.getPath().getName().partition("=")[2]
+        for file in fs.listStatus(folder.getPath()):
+            name = file.getPath().getName().partition(".")[0]
+            if not fs.rename(file.getPath(), hadoop(f"{path}/{name}-{number}.warc.gz")):
+                raise OSError(f"can't name {file.getPath()}")
+        fs.delete(folder.getPath(), True)
 
 
 def write_deduplicated(rows: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
@@ -135,82 +174,88 @@ def write_deduplicated(rows: DataFrame, path: str, min_bytes: int = 0, date: str
     revisits = materialise(resolve_revisits(headers, min_bytes))
     gone = revisits.select(F.col("page_id").alias("gone_id"), F.col("payload_digest").alias("gone_digest")).distinct()
     kept = rows.join(gone, _same_page("page_id", "gone_id") & (F.col("payload_digest") == F.col("gone_digest")), "left_anti")
-    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0.0
-    write_warc(response_records(kept, date).unionByName(revisit_records(revisits, date)), path, mean + 600)
-
-
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of every record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = raw[at:end].decode().split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        n = int(headers["content-length"])
-        yield headers, raw[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+    write_warc(response_records(kept, date).unionByName(revisit_records(revisits, date)), path)
+
+
+def parse(rows: Iterable[tuple[int, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of every record, from the rows of files in their order: a key of the file and what stands between two separators."""
+    file, parts, have, need, headers, head = None, [], 0, None, {}, 0
+    for key, value in rows:
+        if key != file:
+            if parts:
+                raise ValueError("a file ends inside a record")
+            file = key
+            parts = [value if value.startswith(b"WARC/") else _NEXT[4:] + value]
+        else:
+            parts += [_NEXT, value] if parts else [_NEXT[4:] + value]
+        have = sum(map(len, parts)) if len(parts) < 3 else have + len(_NEXT) + len(value)
+        while parts:
+            if need is None:
+                parts = [b"".join(parts)]
+                head = parts[0].find(b"\r\n\r\n")
+                if head < 0:
+                    break
+                lines = parts[0][:head].decode(errors="replace").split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no WARC record: {lines[0][:80]!r}")
+                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                need = head + 4 + int(headers["content-length"])
+            if have < need:
+                break
+            whole = b"".join(parts)
+            yield headers, whole[head + 4 : need]
+            rest = whole[need:]
+            if rest and not rest.startswith(b"\r\n\r\n"):
+                raise ValueError("a record is longer than it says")
+            parts = [rest[4:]] if len(rest) > 4 else []
+            have, need = len(rest) - 4, None
+    if parts:
+        raise ValueError("a file ends inside a record")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def unpacked(content: bytes) -> bytes:
-    """An archive's bytes: those of all its gzip members (often one a record), or the content if it isn't compressed."""
-    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
-
-
 def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
 
+def _row(headers: dict[str, str], block: bytes) -> dict:
+    kind = headers["warc-type"]
+    http, _, payload = block.partition(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    row = {"page_id": _number(headers.get("page-id")), "uri": headers.get("warc-target-uri"), "record_type": kind, "refers_to": _number(headers.get("refers-to-page-id"))}
+    if kind == "revisit":
+        length = next((x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0")
+        return row | {"payload_bytes": int(length), "payload_digest": headers.get("warc-payload-digest", "").partition(":")[2] or None, "payload": None}
+    return row | {"payload_bytes": len(payload), "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode(), "payload": payload}
+
+
 def _read(payloads: bool):
     schema = _READ if payloads else pa.schema([f for f in _READ if f.name != "payload"])
 
-    def rows(content: bytes) -> Iterator[dict]:
-        for headers, block in parse(unpacked(content)):
-            http, _, payload = block.partition(b"\r\n\r\n")
-            row = {"page_id": _number(headers.get("page-id")), "uri": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": _number(headers.get("refers-to-page-id"))}
-            if row["record_type"] == "response":
-                row |= {"payload_bytes": len(payload), "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}
-            else:
-                length = next((x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0")
-                row |= {"payload_bytes": int(length), "payload_digest": headers["warc-payload-digest"].partition(":")[2]}
-            if payloads:
-                row["payload"] = payload if row["record_type"] == "response" else None
-            yield row
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch["content"]:
+        held, size = [], 0
+        for headers, block in parse((k.as_py(), v.as_py()) for batch in batches for k, v in zip(batch["file"], batch["value"], strict=True)):
+            row = _row(headers, block)
+            if not payloads:
+                del row["payload"]
+            held.append(row)
+            size += len(row.get("payload") or b"") + 200
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(held, schema)
                 held, size = [], 0
-                for row in rows(content.as_py()):
-                    held.append(row)
-                    size += len(row.get("payload") or b"") + 200
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return run
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """page_id, uri, record_type, payload_bytes, payload_digest, refers_to, and the payload if asked for, of the records of an archive.
-
-    The result is materialised: file contents need small Arrow batches only while it is read.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
-    try:
-        columns = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-        return materialise(files.mapInArrow(_read(payloads), columns))
-    finally:
-        spark.conf.set(name, before)
+    """page_id, uri, record_type, payload_bytes, payload_digest, refers_to, and the payload if asked for, of the records of the .gz files of an archive."""
+    small_batches(spark)
+    columns = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
+    rows = spark.read.option("lineSep", _NEXT.decode()).option("pathGlobFilter", "*.gz").text(path)
+    return rows.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_read(payloads), columns)
 
 
 def restore_payloads(records: DataFrame) -> DataFrame:
