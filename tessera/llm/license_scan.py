@@ -51,8 +51,6 @@ SPELLINGS = [
     ("noncommercial", "non commercial"),
     ("https", "http"),
 ]
-#: A notice is one line of at most so many characters.
-NOTICE_LENGTH = 300
 
 
 def canonical(text: Column) -> Column:
@@ -75,8 +73,9 @@ def known(spark, entries: list[tuple[str, str]]) -> DataFrame:
 
 
 def could_be_notice(line: Column) -> Column:
+    """Whether a line, of whatever length, has a word that all notices have."""
     low = ascii_lower(line)
-    return (F.length(line) <= NOTICE_LENGTH) & (low.contains("licen") | low.contains("copyright"))
+    return low.contains("licen") | low.contains("copyright")
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -123,8 +122,9 @@ WITH texts AS (SELECT {_sql('t')} AS d, min(k) AS license FROM (VALUES {_values(
 notices AS (SELECT {_sql('t')} AS d, min(k) AS license FROM (VALUES {_values(NOTICES)}) v(k, t) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-candidates AS (SELECT r, {_sql('line')} AS d FROM lines WHERE length(line) <= {NOTICE_LENGTH} AND (contains({line}, 'licen') OR contains({line}, 'copyright'))),
+candidates AS (SELECT r, {_sql('line')} AS d FROM lines WHERE contains({line}, 'licen') OR contains({line}, 'copyright')),
+whole AS (SELECT * FROM texts UNION ALL SELECT * FROM (VALUES {', '.join(f"('{d}', '{k}')" for k, d in DIGESTS)})),
 found AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM candidates JOIN notices USING (d) GROUP BY r),
 digests AS (SELECT r, doc_id, {_sql('text')} AS canonical_sha256 FROM docs)
 SELECT doc_id, canonical_sha256, license, coalesce(notices, '') AS notices
-FROM digests LEFT JOIN texts ON canonical_sha256 = d LEFT JOIN found USING (r)"""
+FROM digests LEFT JOIN whole ON canonical_sha256 = d LEFT JOIN found USING (r)"""

@@ -32,7 +32,7 @@ def brute(rows):
         if text is None:
             out.append((doc, None, None, ""))
             continue
-        lines = [x for x in text.split("\n") if len(x) <= L.NOTICE_LENGTH and ("licen" in x.lower() or "copyright" in x.lower())]
+        lines = [x for x in text.split("\n") if "licen" in x.lower() or "copyright" in x.lower()]
         found = {notices[sha(x)] for x in lines if sha(x) in notices}
         out.append((doc, sha(text), texts.get(sha(text)), ",".join(sorted(found))))
     return Counter(out)
@@ -47,6 +47,7 @@ VARIANTS = [
     (25, "SPDX-License-Identifier: MIT"),
     (26, "licence licence licence organisation whilst"),
     (27, "All rights reserved."),
+    (28, "Released under" + " . " * 400 + "the MIT License"),
 ]
 
 
@@ -56,7 +57,7 @@ def test_against_brute_force(make):
     assert got == brute(rows)
     of = {d: (k, n) for d, _, k, n in got}
     assert [of[d][0] for d in (20, 21, 22, 23, 25)] == ["MIT", "MIT", "MIT", None, "MIT"]
-    assert of[24][1] == "Apache-2.0,MIT"
+    assert of[24][1] == "Apache-2.0,MIT" and of[28][1] == "MIT"
 
 
 def test_against_sql(make):
@@ -88,3 +89,7 @@ def test_long_texts_are_known(make):
     rows = [(i, t) for i, t in enumerate([*texts.values(), cut, cut + " and more", texts["GPL-3.0-only"].upper()])]
     got = {r.doc_id: r.license for r in L.scan(make(rows)).collect()}
     assert [got[i] for i in range(len(rows))] == [*texts, "Apache-2.0", None, "GPL-3.0-only"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r[2] for r in con.execute(L.oracle()).fetchall()} == got
