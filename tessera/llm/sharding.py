@@ -3,7 +3,7 @@
 Keys (hash of the text, so equal texts are neighbours) are sampled with probability in
 proportion to size; weighted quantiles of the sample are the splitters of ``RANGES``
 ranges. Ranges are measured, and one that is overfull (a hot key, an unlucky draw) is
-subdivided by a hash of the id. Inside these cells, of bounded size, running sums of the
+subdivided by a hash of the id (of a row's own number where the id is null). Inside these cells, of bounded size, running sums of the
 sizes place every record on the global byte axis, which is cut into equal shards.
 Shard sizes then differ by about one record; the law is ``bytes``.
 
@@ -36,8 +36,10 @@ OVERHEAD = 8
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """Adds size and key."""
-    return documents.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")).withColumn("key", F.xxhash64("text"))
+    """Adds size, key and a spread value that tells equal texts apart; to be materialised before it is used twice."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(29))).otherwise(F.xxhash64("doc_id", F.lit(23)))
+    return documents.withColumn("size", size).withColumn("key", F.xxhash64("text")).withColumn("spread", own)
 
 
 def draw(u: Column, size: Column, total: int, sample: int) -> Column:
@@ -75,7 +77,7 @@ def ranged(rows: DataFrame, cuts: list[int]) -> DataFrame:
 
 def _part(parts: dict[int, int], ranges: int) -> Column:
     """Subdivision of a row's range; 0 in ranges that are whole."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(23)), F.element_at(F.array(*(F.lit(parts.get(k, 1)) for k in range(ranges))), F.col("range_no") + 1)).cast("int")
+    return F.pmod(F.col("spread"), F.element_at(F.array(*(F.lit(parts.get(k, 1)) for k in range(ranges))), F.col("range_no") + 1)).cast("int")
 
 
 @dataclass
@@ -107,7 +109,7 @@ def plan(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[P
 
 def placed(rows: DataFrame, at: Plan, shards: int = SHARDS) -> DataFrame:
     """Adds shard and rank (over all rows) to rows with key, size, doc_id and their cell."""
-    inside = W.partitionBy("range_no", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("range_no", "part").orderBy("key", "doc_id", "spread").rowsBetween(W.unboundedPreceding, 0)
     out = rows.withColumn("bytes_in", F.sum("size").over(inside)).withColumn("rows_in", F.count(F.lit(1)).over(inside))
     out = out.join(at.before, ["range_no", "part"])
     shard = F.least(F.expr(f"({shards}L * (2 * (bytes_before + bytes_in) - size)) div {2 * max(at.total, 1)}L"), F.lit(shards - 1)).cast("int")
@@ -116,7 +118,7 @@ def placed(rows: DataFrame, at: Plan, shards: int = SHARDS) -> DataFrame:
 
 def assign(documents: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
-    rows = materialise(keyed(documents.select("doc_id", "text")).select("doc_id", "size", "key", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
+    rows = materialise(keyed(documents.select("doc_id", "text")).select("doc_id", "size", "key", "spread", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
     at, rows = plan(rows, ranges, sample)
     out = materialise(placed(rows, at, shards))
     first = out.groupBy("shard").agg(F.min("rank").alias("first_rank"))
@@ -125,12 +127,11 @@ def assign(documents: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sam
 
 
 def sharded_documents(documents: DataFrame, shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
-    """The documents with shard and slot; texts move once, in the exchange of the cells."""
+    """The documents with shard and slot. They are written once with what places them; texts then move once, in the exchange of the cells."""
     columns = documents.columns
-    narrow = materialise(keyed(documents.select("doc_id", "text")).select("doc_id", "size", "key"))
-    at, narrow = plan(narrow, ranges, sample)
+    wide = materialise(keyed(documents.select("doc_id", "text", F.struct(*columns).alias("carried"))).drop("text"))
+    at, narrow = plan(wide.select("doc_id", "size", "key", "spread"), ranges, sample)
     first = placed(narrow, at, shards).groupBy("shard").agg(F.min("rank").alias("first_rank"))
-    wide = keyed(documents.select("doc_id", "text", F.struct(*columns).alias("carried"))).drop("text")
     wide = ranged(wide, at.cuts).withColumn("part", _part(at.parts, ranges))
     out = placed(wide, at, shards).join(F.broadcast(first), "shard")
     return out.select(*(F.col("carried")[c].alias(c) for c in columns), "shard", (F.col("rank") - F.col("first_rank")).cast("long").alias("slot"))

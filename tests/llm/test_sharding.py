@@ -60,3 +60,14 @@ def test_cells_bounded_by_bytes(make, monkeypatch):
     check(rows, S.assign(make(rows), ranges=8, sample=100).collect())
     out = S.sharded_documents(make(rows), ranges=8, sample=100).collect()
     assert {(r.doc_id, r.shard, r.slot) for r in out} == {(r.doc_id, r.shard, r.slot) for r in S.assign(make(rows), ranges=8, sample=100).collect()}
+
+
+def test_null_ids_are_spread(make, monkeypatch):
+    """Rows with neither id nor text of their own don't stay in one cell."""
+    monkeypatch.setattr(S, "CELL_ROWS", 100)
+    rows = [(None, "one text")] * 1200 + [(i, "x" * (i % 90)) for i in range(600)]
+    check(rows, S.assign(make(rows), ranges=8, sample=200).collect())
+    at, cells = S.plan(S.materialise(S.keyed(make(rows).select("doc_id", "text")).drop("text")), 8, 200)
+    assert max(r.n for r in cells.groupBy("range_no", "part").agg(S.F.count("*").alias("n")).collect()) < 250
+    out = S.sharded_documents(make(rows), ranges=8, sample=200).collect()
+    assert len(out) == len(rows) and len({(r.shard, r.slot) for r in out}) == len(rows)
