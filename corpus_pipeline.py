@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, sharding, simhash, toxicity
-from tessera.llm.common import materialise, table
+from tessera.llm.common import drop, mark, materialise, release, table
 
 #: No SQL can express these stages; they are tested against brute force.
 ORACLE_SQL = None
@@ -53,7 +53,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself goes when its output is written; the output goes when the next one is."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
+        since = mark()
         docs = materialise(stage(spark, docs, sf_dir))
+        release(spark, since, docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
