@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,15 +41,15 @@ def highlight(text: Column, terms: list[str]) -> Column:
 
 
 def snippet(text: Column, terms: list[str], most: int = 150, mark: bool = True) -> Column:
-    """Text around the first term (in query order) that occurs, or its head, with ellipses; marked unless told not to."""
+    """Half of most characters on either side of where the first term (in query order) that occurs begins, with ellipses; the head if none does. Marked unless told not to."""
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    at = reduce(lambda rest, t: F.when(F.locate(t.lower(), low) > 0, F.locate(t.lower(), low)).otherwise(rest), reversed([t for t in terms if t]), F.lit(0))
-    start = F.greatest(at - 1 - most // 2, F.lit(0))
-    n = F.length(text)
-    body = F.substring(text, start + 1, F.lit(most))
-    around = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + most < n, "...").otherwise(""))
-    return highlight(around, terms) if mark else around
+    at = F.coalesce(*(F.nullif(F.locate(t.lower(), low), F.lit(0)) for t in terms if t), F.lit(0)) - 1
+    n, half = F.length(text), most // 2
+    start, end = F.greatest(at - half, F.lit(0)), F.least(at + half, n)
+    around = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < n, "...").otherwise(""))
+    out = F.when(at < 0, F.substring(text, F.lit(1), F.lit(most))).otherwise(around)
+    return highlight(out, terms) if mark else out
 
 
 def money(c: Column) -> Column:
@@ -71,17 +70,25 @@ def grouped(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
-_ITEM = r"(?<!^)(?<!\n)(?=(?:[0-9]{1,2}[、.．)）]|[（(][0-9]{1,2}[)）]|[①-⑳])(?![0-9]))"
-HEADERS = ("岗位职责", "任职要求", "职位描述", "工作内容", "福利待遇", "任职资格", "岗位要求", "工作职责")
+# The headings of job descriptions, and the numbers and marks of items.
+HEADERS = (
+    "岗位职责", "任职资格", "任职要求", "职位描述", "岗位要求",
+    "工作职责", "工作内容", "职位要求", "资格要求", "招聘要求",
+    "岗位介绍", "福利待遇", "薪资福利", "公司介绍", "公司简介",
+    "职位信息", "岗位信息", "工作职责描述", "主要职责",
+)
+ITEM_NUMBERS, ITEM_MARKS = "0-9一二三四五六七八九十", ".、)）"
 
 
 def description_lines(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
-    """Array of (kind, line): headings, numbered items and paragraphs of a description."""
+    """Array of (kind, line): headings, numbered items and paragraphs of a description. Numbers and headings after a sentence or a space begin lines."""
     head = "|".join(headers)
-    cut = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _ITEM, "\n"), f"(?<!^)(?<!\n)(?=(?:{head})[：:])", "\n")
-    lines = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    after = r"(?<=[。！？\s])"
+    begins = rf"{after}(?=[0-9]+[{ITEM_MARKS}])|{after}(?=(?:{head})[：:])"
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), begins, "\n"), r"\r\n?|\n")
+    lines = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
     def kind(x: Column) -> Column:
-        return F.when(x.rlike(f"^({head})[：:]?$|^({head})[：:]"), "head").when(x.rlike(r"^([0-9]{1,2}[、.．)）]|[（(][0-9]{1,2}[)）]|[①-⑳])"), "item").otherwise("para")
+        return F.when(x.rlike(f"^(?:{head})"), "head").when(x.rlike(f"^[{ITEM_NUMBERS}]+[{ITEM_MARKS}]"), "item").otherwise("para")
 
     return F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), x.alias("line")))

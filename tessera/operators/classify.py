@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,23 +17,34 @@ ALPHAS = (0.01, 0.1, 0.5, 1.0, 2.0, 5.0)
 
 def train_df_vectors(tokens: DataFrame, train: DataFrame, field: str = "tokens", k: int = 200) -> DataFrame:
     """doc_id, term, w of all documents with document frequencies of the training rows alone; a term they lack has df 0, so idf ln N."""
-    tf = tokens.select("doc_id", F.explode(field).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = train.count()
+    return vectors_by(IX.term_counts(tokens, {field: 1.0}), *training_df(IX.term_counts(tokens, {field: 1.0}), train), k)
+
+
+def training_df(tf: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df) of the training rows, and their number as one row, n."""
     df = tf.join(train.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term", "left").select("doc_id", "term", (F.col("tf") * F.log(F.lit(n) / (F.coalesce("df", F.lit(0)) + 1))).alias("w"))
+    return df, train.agg(F.count(F.lit(1)).alias("n"))
+
+
+def vectors_by(tf: DataFrame, df: DataFrame, n: DataFrame, k: int = 200) -> DataFrame:
+    """doc_id, term, w: tf times smooth idf by given document frequencies, the k best of each document."""
+    rows = tf.join(df, "term", "left").crossJoin(F.broadcast(n))  # one row
+    scored = rows.select("doc_id", "term", (F.col("tf") * F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1))).alias("w"))
     return IX.top_features(scored, k).select("doc_id", "term", "w")
 
 
 def knn_neighbours(vectors: DataFrame, labels: DataFrame, k: int = max(KS), digits: int = 9) -> DataFrame:
     """doc_id, rank, label, sim of the k nearest training rows of each test row. labels: doc_id, label, is_train.
 
-    Rows that share no term have similarity 0 and stand after all others, by id. To find them
+    Rows that share no term have similarity 0 and stand after those that do, by id. To find them
     a list of the k least ids is enough, so no cross product is built.
     """
+    from tessera.operators.search import best_products
+
     unit = vectors.join(IX.norms(vectors), "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    test = unit.join(labels.where("not is_train").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("i"), "term", F.col("u").alias("ui"))
-    train = unit.join(labels.where("is_train").select("doc_id", "label"), "doc_id").select(F.col("doc_id").alias("j"), "label", "term", F.col("u").alias("uj"))
-    sims = test.join(train, "term").groupBy("i", "j", "label").agg(F.round(F.sum(F.col("ui") * F.col("uj")), digits).alias("sim"))
+    sides = unit.join(labels.select("doc_id", "is_train"), "doc_id").select("doc_id", "term", "u", F.col("is_train").cast("int").alias("side"))
+    near = best_products(sides, k, digits).select("i", "j", F.round("score", digits).alias("sim"))
+    sims = near.join(labels.select(F.col("doc_id").alias("j"), "label"), "j").select("i", "j", "label", "sim")
     spare = labels.where("is_train").orderBy("doc_id").limit(k).select(F.col("doc_id").alias("j"), "label", F.lit(0.0).alias("sim"))
     every = labels.where("not is_train").select(F.col("doc_id").alias("i")).crossJoin(F.broadcast(spare))  # k rows
     both = sims.unionByName(every.join(sims.select("i", "j"), ["i", "j"], "left_anti"))
@@ -61,14 +73,16 @@ def nb_scores(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alpha: f
     Every class starts from the sum it would have if none of the terms were seen in it;
     seen terms add their difference. So only (term, class) pairs that exist are joined.
     """
-    size = counts.select("term").distinct().agg(F.count(F.lit(1)).alias("v")).first()["v"]
     known = counts.select("term").distinct().withColumn("known", F.lit(1))
-    terms = vectors.select("doc_id", "term").distinct().join(known, "term", "left").groupBy("doc_id").agg(F.count("known").alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
-    n_docs = totals.agg(F.sum("docs").alias("n")).first()["n"]
-    base = totals.select("label", F.log(F.col("docs") / n_docs).alias("prior"), F.log(F.lit(alpha) / (F.col("total") + alpha * size)).alias("unseen"), "total")
-    seen = vectors.select("doc_id", "term").distinct().join(counts, "term").groupBy("doc_id", "label").agg(F.sum(F.log((F.col("n") + alpha) / alpha)).alias("gain"))
+    size = known.agg(F.count(F.lit(1)).alias("size"))
+    n_docs = totals.agg(F.sum("docs").alias("n_docs"))
+    own = vectors.select("doc_id", "term").distinct()
+    terms = own.join(known, "term", "left").groupBy("doc_id").agg(F.count("known").alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
+    base = totals.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n_docs))  # one row each
+    base = base.select("label", F.log(F.col("docs") / F.col("n_docs")).alias("prior"), F.log(F.lit(alpha) / (F.col("total") + alpha * F.col("size"))).alias("unseen"), F.log(F.greatest("size", F.lit(1))).alias("ln_size"))
+    seen = own.join(counts, "term").groupBy("doc_id", "label").agg(F.sum(F.log((F.col("n") + alpha) / alpha)).alias("gain"))
     every = terms.crossJoin(F.broadcast(base))  # a row per class
-    score = F.col("prior") + F.col("n_known") * F.col("unseen") + F.col("n_unknown") * F.lit(-1.0) * F.log(F.lit(float(max(size, 1)))) + F.coalesce("gain", F.lit(0.0))
+    score = F.col("prior") + F.col("n_known") * F.col("unseen") - F.col("n_unknown") * F.col("ln_size") + F.coalesce("gain", F.lit(0.0))
     return every.join(seen, ["doc_id", "label"], "left").select("doc_id", "label", F.round(score, 9).alias("score"))
 
 
@@ -135,6 +149,49 @@ def nb_grid(vectors: DataFrame, labels: DataFrame, n_classes: int, alphas: tuple
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@dataclass
+class NbModel:
+    """A trained naive Bayes model as tables: term counts per class, class totals, document frequencies, number of training rows."""
+
+    counts: DataFrame  # label, term, n
+    totals: DataFrame  # label, docs, total
+    df: DataFrame  # term, df
+    n: DataFrame  # n
+    alpha: float = 0.1
+
+    @staticmethod
+    def fit(tokens: DataFrame, labels: DataFrame, field: str = "tokens", alpha: float = 0.1, k: int = 200) -> NbModel:
+        """Trained on all labelled documents (labels: doc_id, label)."""
+        train = labels.where("label is not null").select("doc_id", "label", F.lit(True).alias("is_train"))
+        tf = IX.term_counts(tokens.join(train.select("doc_id"), "doc_id", "left_semi"), {field: 1.0})
+        df, n = training_df(tf, train)
+        return NbModel(*nb_statistics(vectors_by(tf, df, n, k), train), df, n, alpha)
+
+    def save(self, path: str) -> NbModel:
+        """Writes the tables below path and returns the model that reads them."""
+        spark = self.counts.sparkSession
+        for name in _TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame([(self.alpha,)], "alpha double").write.mode("overwrite").parquet(f"{path}/parameters")
+        return NbModel.load(spark, path)
+
+    @staticmethod
+    def load(spark, path: str) -> NbModel:
+        tables = [spark.read.parquet(f"{path}/{name}") for name in _TABLES]
+        return NbModel(*tables, spark.read.parquet(f"{path}/parameters").first()["alpha"])
+
+    def scores(self, tokens: DataFrame, field: str = "tokens", k: int = 200) -> DataFrame:
+        """doc_id, label, score of all documents that have tokens, with the document frequencies of training."""
+        return nb_scores(vectors_by(IX.term_counts(tokens, {field: 1.0}), self.df, self.n, k), self.counts, self.totals, self.alpha)
+
+    def predict(self, tokens: DataFrame, field: str = "tokens", top: int = 1) -> DataFrame:
+        """doc_id, rank, label, confidence of the best labels."""
+        return probabilities(self.scores(tokens, field), top)
+
+
+_TABLES = ("counts", "totals", "df", "n")
+
+
 #: A category dictionary has these columns: name, definition, merged_from, keywords.
 CATEGORY_SCHEMA = "label int, name string, definition string, merged_from string, keywords array<string>"
 

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import index as IX
+from tessera.session import drop, materialise
 
 LEAST_DF = 10
 WORDS = 800
@@ -57,7 +54,7 @@ def _partial_gram(n: int, docs: int = 256):
 
 def gram(vectors: DataFrame, most: int = WORDS) -> tuple[list[str], np.ndarray]:
     """The words in order and the inner products of their vectors over all documents; more words are refused, so the matrix is bounded."""
-    vectors = vectors.cache()
+    vectors = materialise(vectors)
     terms = [r.term for r in vectors.select("term").distinct().orderBy("term").limit(most + 1).collect()]
     if len(terms) > most:
         raise ValueError(f"at most {most} words have a place in the matrix")
@@ -70,40 +67,96 @@ def gram(vectors: DataFrame, most: int = WORDS) -> tuple[list[str], np.ndarray]:
     for batch in sums.toArrow().to_batches():
         i, j, x = (batch[c].to_numpy() for c in ("i", "j", "x"))
         out[i, j] = out[j, i] = np.round(x, 12)  # the order of the sum doesn't show
-    vectors.unpersist()
+    drop(vectors)
     return terms, out
 
 
-def exact_features(vectors: DataFrame, most: int = WORDS) -> DataFrame:
-    """term, features: coordinates with exactly the inner products of the word vectors over all documents.
-
-    With G = V L V^T the Gram matrix, the rows of V sqrt(L) have G as theirs, so that
-    distances, linkage, k-means and principal components are those of the full vectors.
-    """
-    terms, g = gram(vectors, most)
-    values, axes = np.linalg.eigh(g) if terms else (np.zeros(0), g)
-    x = axes[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))
-    rows = vectors.sparkSession.createDataFrame([(t, own.tolist()) for t, own in zip(terms, x, strict=True)], "term string, x array<double>")
-    return rows.select("term", array_to_vector("x").alias("features"))
-
-
-def kmeans(features: DataFrame, ks: range = range(6, 13), seed: int = 42) -> tuple[DataFrame, int]:
-    """The frame with its cluster for the k of best silhouette, and that k."""
-    features = features.cache()
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    best = None
-    for k in ks:
-        out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features).transform(features)
-        score = judge.evaluate(out) if out.select("cluster").distinct().count() > 1 else -1.0
-        if best is None or score > best[0]:
-            best = (score, k, out)
-    return best[2], best[1]
+@dataclass
+class Words:
+    """Words as points on the driver: at most WORDS of them, whatever the corpus."""
+
+    spark: SparkSession
+    terms: list[str]
+    x: np.ndarray
+
+    @staticmethod
+    def of(vectors: DataFrame, most: int = WORDS) -> Words:
+        """Points with exactly the inner products of the word vectors over all documents.
+
+        With G = V L V^T the Gram matrix, the rows of V sqrt(L) have G as theirs, so that
+        distances, linkage, k-means and principal components are those of the full vectors.
+        """
+        terms, g = gram(vectors, most)
+        values, axes = np.linalg.eigh(g) if terms else (np.zeros(0), g)
+        return Words(vectors.sparkSession, terms, axes[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0)))
+
+    def labelled(self, labels: np.ndarray) -> DataFrame:
+        """term, cluster."""
+        return self.spark.createDataFrame([(t, int(c)) for t, c in zip(self.terms, labels, strict=True)], "term string, cluster int")
+
+
+def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def kmeans_labels(x: np.ndarray, k: int, starts: int = 10, seed: int = 42, rounds: int = 300) -> np.ndarray:
+    """Labels of k clusters: the best of several runs from centres drawn in proportion to their squared distance."""
+    rng = np.random.default_rng(seed)
+    best, least = np.zeros(len(x), np.int64), np.inf
+    for _ in range(starts):
+        centres = x[[int(rng.integers(len(x)))]]
+        while len(centres) < k:
+            far = square_distances(x, centres).min(1)
+            at = int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x)))
+            centres = np.vstack([centres, x[at]])
+        label = None
+        for _ in range(rounds):
+            far = square_distances(x, centres)
+            new = far.argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            sizes = np.bincount(label, minlength=k)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, label, x)
+            # An empty cluster takes the point that is farthest from its centre.
+            centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], x[far.min(1).argmax()])
+        cost = float(square_distances(x, centres)[np.arange(len(x)), label].sum())
+        if cost < least - 1e-12:
+            best, least = label, cost
+    return best
+
+
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean over the points of (b - a) / max(a, b): a the mean distance inside the own cluster, b that to the nearest other; 0 for a cluster of one."""
+    d = np.sqrt(square_distances(x, x))
+    np.fill_diagonal(d, 0)
+    own, sizes = np.unique(labels, return_inverse=True)[1], np.unique(labels, return_counts=True)[1]
+    if len(sizes) < 2:
+        return -1.0
+    sums = np.stack([d[:, own == c].sum(1) for c in range(len(sizes))], 1)
+    rows = np.arange(len(x))
+    a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+    others = sums / sizes
+    others[rows, own] = np.inf
+    b = others.min(1)
+    s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+    return float(s.mean())
+
+
+def kmeans(words: Words, ks: range = range(6, 13), seed: int = 42) -> tuple[np.ndarray, int]:
+    """Labels for the k of best silhouette, and that k."""
+    if not words.terms:
+        return np.zeros(0, np.int64), 0
+    runs = {k: kmeans_labels(words.x, k, seed=seed) for k in ks if k <= len(words.terms)} or {1: np.zeros(len(words.terms), np.int64)}
+    best = max(runs, key=lambda k: (silhouette(words.x, runs[k]), -k))
+    return runs[best], best
 
 
 def linkage(x: np.ndarray, k: int, method: str = "ward") -> np.ndarray:
     """Labels of k clusters by Lance-Williams updates over a few hundred points (driver side, quadratic memory)."""
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if n <= 400 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
+    d = np.sqrt(square_distances(x, x))
     np.fill_diagonal(d, np.inf)
     size = np.ones(n)
     label = np.arange(n)
@@ -129,13 +182,9 @@ def linkage(x: np.ndarray, k: int, method: str = "ward") -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def hierarchical(features: DataFrame, k: int, method: str = "ward", most: int = WORDS) -> DataFrame:
-    """term, cluster by agglomeration of at most so many words; more are refused."""
-    rows = features.select("term", "features").orderBy("term").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"agglomeration takes {most} words at most")
-    labels = linkage(np.array([r.features.toArray() for r in rows]), min(k, len(rows)), method) if rows else []
-    return features.sparkSession.createDataFrame([(r.term, int(c)) for r, c in zip(rows, labels, strict=True)], "term string, cluster int")
+def hierarchical(words: Words, k: int, method: str = "ward") -> np.ndarray:
+    """Labels of k clusters by agglomeration."""
+    return linkage(words.x, min(k, len(words.terms)), method) if words.terms else np.zeros(0, np.int64)
 
 
 def quality(vectors: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,9 +216,26 @@ def agreement(labels: DataFrame) -> DataFrame:
     return per.agg(F.round(F.sum("most") / F.sum("size"), 6).alias("purity"), F.round(F.sum(entropy * F.col("size")) / F.sum("size"), 6).alias("entropy"))
 
 
-def pca(features: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
-    model = PCA(k=k, inputCol="features", outputCol="projected").fit(features)
-    return model.transform(features), model.explainedVariance.toArray().tolist()
+def overlap(labels: DataFrame) -> DataFrame:
+    """a, b, overlap for each pair of clusterings: the share of items that lie in the commonest b of their a. labels: item, method, cluster."""
+    other = labels.select("item", F.col("method").alias("b"), F.col("cluster").alias("of_b"))
+    both = labels.select("item", F.col("method").alias("a"), F.col("cluster").alias("of_a")).join(other, "item").where("a < b")
+    cells = both.groupBy("a", "b", "of_a", "of_b").agg(F.count(F.lit(1)).alias("n"))
+    most = cells.groupBy("a", "b", "of_a").agg(F.max("n").alias("most"), F.sum("n").alias("size"))
+    return most.groupBy("a", "b").agg(F.round(F.sum("most") / F.sum("size"), 6).alias("overlap"))
+
+
+def pca(words: Words, k: int = 2) -> tuple[np.ndarray, list[float]]:
+    """Coordinates on the first k principal components of the centred points, and the share of the variance that each explains. Signs are such that a component's greatest coordinate is positive."""
+    if not words.terms:
+        return np.zeros((0, k)), [0.0] * k
+    u, s, _ = np.linalg.svd(words.x - words.x.mean(0), full_matrices=False)
+    out = u[:, :k] * s[:k]
+    out = np.pad(out, ((0, 0), (0, k - out.shape[1])))
+    signs = np.sign(out[np.abs(out).argmax(0), np.arange(k)])
+    total = float((s**2).sum())
+    shares = [float(x) / total if total else 0.0 for x in np.pad(s**2, (0, max(0, k - len(s))))[:k]]
+    return out * np.where(signs == 0, 1, signs), shares
 
 
 def names(labels: DataFrame, word: str = "term", n: int = 3) -> DataFrame:
@@ -182,6 +248,3 @@ def vectors_of_embeddings(df: DataFrame, key: str, column: str) -> DataFrame:
     """item, dim, w at unit length from an array column."""
     length = F.sqrt(F.aggregate(F.transform(column, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     return df.select(F.col(key).alias("item"), F.posexplode(F.transform(column, lambda x: x.cast("double") / length)).alias("dim", "w"))
-
-
-__all__ = ["IX", "agreement", "exact_features", "gram", "hierarchical", "kmeans", "linkage", "names", "pca", "quality", "vectors_of_embeddings", "word_variance", "word_vectors"]

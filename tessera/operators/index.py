@@ -1,12 +1,18 @@
 """Inverted index, weights and vectors, as long tables (term, doc_id, ...).
 
-Input of all builders is a token table: doc_id and arrays of tokens per field.
+Input of all builders is a token table: doc_id and arrays of tokens per field. All tokens of a document stand
+in one row, so its terms are counted where the row lies (by Arrow batch); what is shuffled are counts, not
+occurrences.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import time
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +26,56 @@ def occurrences(tokens: DataFrame, fields: list[str]) -> DataFrame:
     return tokens.select("doc_id", F.posexplode(every).alias("pos", "term"))
 
 
-def postings(occ: DataFrame, stop: list[str] = (), least: int = 2) -> DataFrame:
-    """term, doc_id, tf, positions of the tokens that are long enough and no stop words."""
-    kept = occ.where(F.length("term") >= least)
+def _counted(batch: pa.RecordBatch, fields: dict[str, float], least: int, stop: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of token rows: term and row of each posting, where it begins in the sorted occurrences, their positions and weights."""
+    rows, positions, weights, flat = [], [], [], []
+    before = np.zeros(batch.num_rows, np.int64)
+    for f, weight in fields.items():
+        n = pc.list_value_length(batch[f]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), n)
+        rows.append(row)
+        positions.append(np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + before[row])
+        weights.append(np.full(len(row), weight))
+        flat.append(batch[f].flatten())
+        before += n
+    encoded = pa.concat_arrays(flat).dictionary_encode()
+    names, code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
+    wanted = pc.greater_equal(pc.utf8_length(names), least)
     if stop:
-        kept = kept.where(~F.col("term").isin(list(stop)))
-    return kept.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        wanted = pc.and_(wanted, pc.invert(pc.is_in(names, pa.array(stop, names.type))))
+    keep = wanted.to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+    key = (np.concatenate(rows) * max(len(names), 1) + code)[keep]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begins = np.flatnonzero(np.diff(key, prepend=-1))
+    return names.take(pa.array(key[begins] % max(len(names), 1))), key[begins] // max(len(names), 1), begins, np.concatenate(positions)[keep][order], np.concatenate(weights)[keep][order]
+
+
+def postings(tokens: DataFrame, fields: list[str], stop: list[str] = (), least: int = 2) -> DataFrame:
+    """term, doc_id, tf, positions of the tokens that are long enough and no stop words. Positions count all tokens of the fields together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, row, begins, position, _ = _counted(batch, dict.fromkeys(fields, 1.0), least, list(stop))
+            ends = np.append(begins, len(position))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position, pa.int32()))
+            yield pa.RecordBatch.from_arrays([terms, batch["doc_id"].take(pa.array(row)), pa.array(np.diff(ends)), lists], ["term", "doc_id", "tf", "positions"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", *fields).mapInArrow(run, f"term string, doc_id {kind}, tf long, positions array<int>")
+
+
+def term_counts(tokens: DataFrame, weight: dict[str, float], least: int = 0) -> DataFrame:
+    """term, doc_id, tf with each field's occurrences counted at its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, row, begins, _, weights = _counted(batch, weight, least, [])
+            tf = np.add.reduceat(weights, begins) if len(begins) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([terms, batch["doc_id"].take(pa.array(row)), pa.array(tf)], ["term", "doc_id", "tf"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", *weight).mapInArrow(run, f"term string, doc_id {kind}, tf double")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -33,14 +83,20 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def lexicon(post: DataFrame) -> DataFrame:
-    """The nested form: term, df and postings sorted by document."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"))
+#: Ids that one list of postings spans; a common term has several lists, so no row grows with the corpus.
+SPAN = 1_000_000
+
 
+def lexicon(post: DataFrame, span: int = SPAN) -> DataFrame:
+    """The nested form: term, part, df and postings sorted by document, of the documents whose id is in the part-th span."""
+    part = F.floor(F.col("doc_id") / span).cast("long").alias("part")
+    return post.groupBy("term", part).agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"))
 
-def index_stats(occ: DataFrame, post: DataFrame) -> DataFrame:
+
+def index_stats(tokens: DataFrame, fields: list[str], post: DataFrame) -> DataFrame:
     """raw_tokens, valid_postings, terms, avg_df."""
-    a = occ.agg(F.count(F.lit(1)).alias("raw_tokens"))
+    sizes = [F.greatest(F.size(f), F.lit(0)).cast("long") for f in fields]
+    a = tokens.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0])), F.lit(0)).alias("raw_tokens"))
     b = document_frequency(post).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("valid_postings"), F.count(F.lit(1)).alias("terms"), F.round(F.avg("df"), 6).alias("avg_df"))
     return a.crossJoin(F.broadcast(b))  # one row each
 
@@ -67,6 +123,15 @@ def sequential_and(tokens: DataFrame, fields: list[str], terms: list[str]) -> Da
     return tokens.where(contains_all(every, terms)).select("doc_id")
 
 
+def timed(post: DataFrame, tokens: DataFrame, fields: list[str], terms: list[str]) -> list[tuple[str, int, float]]:
+    """(method, hits, seconds) of a conjunction by a scan of the tokens and by the postings."""
+    out = []
+    for name, hits in (("scan", sequential_and(tokens, fields, terms)), ("index", boolean_and(post, terms))):
+        began = time.perf_counter()
+        out.append((name, hits.count(), time.perf_counter() - began))
+    return out
+
+
 def verify(post: DataFrame, tokens: DataFrame, fields: list[str], least: int = 2) -> DataFrame:
     """(term, doc_id) pairs on which index and scan disagree, with the side that has them. All terms are checked."""
     scan = occurrences(tokens, fields).where(F.length("term") >= least).select("term", "doc_id").distinct()
@@ -93,16 +158,17 @@ def unit_length(vectors: DataFrame) -> DataFrame:
     return vectors.join(norms(vectors), "doc_id").select("term", "doc_id", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def scheme_stats(post: DataFrame, n_docs: int, schemes: tuple[str, ...] = ("ltc", "nfc", "bfx", "tfx")) -> DataFrame:
-    """Per scheme: stored weights, average per document, and how many are not zero."""
-    parts = [weights(post, n_docs, s).agg(F.count(F.lit(1)).alias("stored"), F.round(F.count(F.lit(1)) / F.lit(n_docs), 6).alias("avg_per_doc"), F.count_if(F.abs("w") > 1e-12).alias("non_zero")).withColumn("scheme", F.lit(s)) for s in schemes]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def weighted_terms(tokens: DataFrame, weight: dict[str, float]) -> DataFrame:
-    """doc_id, term, tf with each field's occurrences counted at its weight."""
-    parts = [tokens.select("doc_id", F.explode(f).alias("term"), F.lit(float(w)).alias("one")) for f, w in weight.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("doc_id", "term").agg(F.sum("one").alias("tf"))
+def scheme_stats(post: DataFrame, n_docs: int, kind: str = "plain") -> DataFrame:
+    """Per scheme: stored weights, average per document, and how many are not zero. All schemes are columns of one pass."""
+    rarity = idf(F.lit(n_docs), F.col("df"), kind)
+    raw = {"ltc": log_tf(F.col("tf")) * rarity, "nfc": F.col("tf") * rarity, "bfx": rarity, "tfx": F.col("tf").cast("double")}
+    rows = post.select("term", "doc_id", "tf").join(document_frequency(post), "term").select("doc_id", *(c.alias(s) for s, c in raw.items()))
+    lengths = rows.groupBy("doc_id").agg(*(safe_norm(F.sum(F.col(s) * F.col(s))).alias(f"{s}_norm") for s in ("ltc", "nfc")))
+    whole = rows.join(lengths, "doc_id")
+    w = {s: F.col(s) / F.col(f"{s}_norm") if s in ("ltc", "nfc") else F.col(s) for s in raw}
+    counts = whole.agg(F.count(F.lit(1)).alias("stored"), *(F.count_if(F.abs(c) > 1e-12).alias(s) for s, c in w.items()))
+    each = F.array(*(F.struct(F.lit(s).alias("scheme"), F.col(s).alias("non_zero")) for s in raw))
+    return counts.select("stored", F.round(F.col("stored") / F.lit(n_docs), 6).alias("avg_per_doc"), F.explode(each).alias("x")).select("stored", "avg_per_doc", "x.non_zero", "x.scheme")
 
 
 def top_features(vectors: DataFrame, k: int, score: str = "w", digits: int = 9) -> DataFrame:
@@ -113,7 +179,7 @@ def top_features(vectors: DataFrame, k: int, score: str = "w", digits: int = 9)
 
 def tfidf_matrix(tokens: DataFrame, fields: list[str], n_docs: int, k: int = 200) -> DataFrame:
     """doc_id, term, w: raw tf times smooth idf, the k best of each document."""
-    tf = occurrences(tokens, fields).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    tf = term_counts(tokens, dict.fromkeys(fields, 1.0))
     scored = tf.join(document_frequency(tf), "term").select("doc_id", "term", (F.col("tf") * idf(F.lit(n_docs), F.col("df"), "smooth")).alias("w"))
     return top_features(scored, k).select("doc_id", "term", "w")
 

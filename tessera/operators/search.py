@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import matches_either_way
 from tessera.operators import filters as FL
 from tessera.operators import index as IX
+from tessera.session import materialise
 
 PAGE = 20
 TITLE_WEIGHT = 2.0
@@ -68,15 +71,22 @@ class Index:
         The matrix is ranged and sorted by term, so that row group statistics leave a search
         little more than the postings of its terms to read.
         """
-        spark = self.docs.sparkSession
-
-        def written(name: str, df: DataFrame) -> DataFrame:
-            df.write.parquet(f"{path}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-        matrix = written("matrix", self.matrix.repartitionByRange("term").sortWithinPartitions("term"))
-        vocabulary = IX.vocabulary(matrix).repartitionByRange("term").sortWithinPartitions("term")
-        return Index(self.docs, written("titles", self.titles), matrix, written("norms", IX.norms(matrix)), written("vocabulary", vocabulary), self.n_docs, self.kind)
+        matrix = self.matrix.repartitionByRange("term").sortWithinPartitions("term")
+        matrix.write.parquet(f"{path}/matrix")
+        matrix = self.docs.sparkSession.read.schema(self.matrix.schema).parquet(f"{path}/matrix")
+        self.titles.write.parquet(f"{path}/titles")
+        IX.norms(matrix).write.parquet(f"{path}/norms")
+        IX.vocabulary(matrix).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+        self.docs.sparkSession.createDataFrame([(self.n_docs, self.kind)], "n_docs long, kind string").write.parquet(f"{path}/parameters")
+        return Index.read(self.docs, path)
+
+    @staticmethod
+    def read(docs: DataFrame, path: str) -> Index:
+        """A stored index, with the table of the records that it was built from."""
+        spark = docs.sparkSession
+        titles, matrix, norms, vocabulary = (spark.read.parquet(f"{path}/{name}") for name in ("titles", "matrix", "norms", "vocabulary"))
+        own = spark.read.parquet(f"{path}/parameters").first()
+        return Index(docs, titles, matrix, norms, vocabulary, own["n_docs"], own["kind"])
 
 
 def build(docs: DataFrame, tokens: DataFrame, features: int = 200) -> Index:
@@ -139,15 +149,22 @@ def search(ix: Index, r: Request) -> DataFrame:
     return page(scored(ix, r), r)
 
 
+def field_counts(docs: DataFrame, tops: dict[str, int | None]) -> DataFrame:
+    """field, value, n of several fields from one pass: the commonest values, as many as asked for, of ties the first by value."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in tops))
+    counts = docs.select(F.explode(each).alias("x")).select("x.*").where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    bounds = {f: n for f, n in tops.items() if n is not None}
+    if not bounds:
+        return counts
+    # Ranked by value, among the distinct values of a field.
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), "value")))
+    most = F.element_at(F.create_map(*(x for f, n in bounds.items() for x in (F.lit(f), F.lit(n)))), F.col("field"))
+    return ranked.where(most.isNull() | (F.col("rank") <= most)).drop("rank")
+
+
 def facets(docs: DataFrame, top: int = 30) -> DataFrame:
     """field, value, n: the commonest industries and cities, all educations and experiences."""
-    from tessera.operators.profile import value_counts
-
-    parts = [value_counts(docs, f, n).withColumn("field", F.lit(f)) for f, n in (("industry", top), ("city", top), ("education", None), ("experience", None))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("field", "value", "n")
+    return field_counts(docs, {"industry": top, "city": top, "education": None, "experience": None})
 
 
 def similar_pairs(matrix: DataFrame, norms: DataFrame, only: list[int] | None = None) -> DataFrame:
@@ -165,64 +182,107 @@ def top_similar(pairs: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "j"))).where(F.col("rank") <= k)
 
 
-def similar_blocked(matrix: DataFrame, norms: DataFrame, k: int = 5, block: int = 2000, digits: int = 6) -> DataFrame:
-    """The same top neighbours by block multiplication, for vectors whose common terms would make the term join explode.
-
-    Documents are dealt into blocks of bounded size; every pair of blocks is one sparse
-    product in one task, of which only the k best of each row leave. Work is quadratic
-    in the documents, as all-pairs cosine is, but spread evenly and in bounded memory.
+#: Documents of a block; a task multiplies two blocks.
+BLOCK = 2000
+#: Pairs of occurrences of a term in two blocks up to which they are multiplied one by one, and pairs or terms at a time.
+FEW, PAIRS, TERMS = 4000, 1 << 22, 256
+
+
+def _product(a: tuple, b: tuple, n_a: int, n_b: int) -> np.ndarray:
+    """The products of two blocks of sparse rows, each (row, term code, value): rare terms pair by pair, frequent ones as dense columns."""
+    out = np.zeros(n_a * n_b)
+    (ra, ca, ua), (rb, cb, ub) = (tuple(x[np.argsort(s[1], kind="stable")] for x in s) for s in (a, b))
+    top = int(max(ca.max(initial=-1), cb.max(initial=-1))) + 1
+    na, nb = np.bincount(ca, minlength=top), np.bincount(cb, minlength=top)
+    at_a, at_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    cost = na * nb
+    rare = np.flatnonzero((cost > 0) & (cost <= FEW))
+    for part in np.split(rare, np.flatnonzero(np.diff(np.cumsum(cost[rare]) // PAIRS)) + 1):
+        if not len(part):
+            continue
+        of = np.repeat(part, cost[part])
+        k = np.arange(len(of)) - np.repeat(np.cumsum(cost[part]) - cost[part], cost[part])
+        x, y = at_a[of] + k // nb[of], at_b[of] + k % nb[of]
+        out += np.bincount(ra[x] * n_b + rb[y], ua[x] * ub[y], n_a * n_b)
+    out = out.reshape(n_a, n_b)
+    many = np.flatnonzero(cost > FEW)
+    place = np.full(top, -1)
+    for lo in range(0, len(many), TERMS):
+        part = many[lo : lo + TERMS]
+        place[part] = np.arange(len(part))
+        sides = []
+        for r, c, u, n in ((ra, ca, ua, n_a), (rb, cb, ub, n_b)):
+            own = place[c] >= 0
+            dense = np.zeros((n, len(part)))
+            dense[r[own], place[c[own]]] = u[own]
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+        place[part] = -1
+    return out
+
+
+def _best(sims: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, slack: float) -> pd.DataFrame:
+    """The k best positive products of each row, with those that rounding could make equal to the last."""
+    if sims.shape[1] > k:
+        least = np.partition(sims, -k, axis=1)[:, -k:].min(1)
+        r, c = np.nonzero((sims >= least[:, None] - slack) & (sims > 0))
+    else:
+        r, c = np.nonzero(sims > 0)
+    return pd.DataFrame({"i": i[r], "j": j[c], "score": sims[r, c]})
+
+
+def best_products(rows: DataFrame, k: int, digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """i, j, score: for each left row candidates that hold its k best right rows, by block multiplication.
+
+    rows: doc_id, term, u and, if left and right differ, side (0 left, 1 right); without side all
+    rows meet all others. Rows are dealt into blocks of bounded size; every pair of blocks is one
+    sparse product in one task, once for both directions, of which only the best of each row
+    leave. Work is quadratic in the documents, as all-pairs products are, but even and in bounded memory.
     """
-    import numpy as np
-    import pandas as pd
-
-    unit = matrix.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    n = matrix.select("doc_id").distinct().count()
-    cuts = max(1, -(-n // block))
-    packed = unit.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("u").alias("us")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(cuts)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(cuts - 1))
-    left = packed.select(F.explode(every).alias("other"), "*").select(F.col("b").alias("p"), F.col("other").alias("q"), F.lit(0).alias("side"), "doc_id", "terms", "us")
-    right = packed.select(F.explode(every).alias("other"), "*").select(F.col("other").alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"), "doc_id", "terms", "us")
+    two = "side" in rows.columns
+    packed = rows.groupBy("doc_id", *(["side"] if two else [])).agg(F.collect_list("term").alias("terms"), F.collect_list("u").alias("us"))
+    packed = materialise(packed if two else packed.withColumn("side", F.lit(0)))
+    n = {r.side: r.n for r in packed.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = {s: max(1, -(-m // block)) for s, m in n.items()}
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == 1, cuts.get(1, 1)).otherwise(cuts.get(0, 1))).cast("int")
+    dealt = packed.withColumn("b", own)
+    if two:
+        others = F.sequence(F.lit(0), F.when(F.col("side") == 1, cuts.get(0, 1)).otherwise(cuts.get(1, 1)) - 1)
+        met = dealt.withColumn("o", F.explode(others)).select(F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("o")).alias("p"), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("b")).alias("q"), "side", "b", "doc_id", "terms", "us")
+    else:
+        met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(cuts.get(0, 1) - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "side", "b", "doc_id", "terms", "us")
+    slack = 1.1 * 10.0**-digits
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "doc_id"], kind="stable")
-        terms = np.concatenate(pdf.terms.to_numpy())
-        codes, names = pd.factorize(terms)
-        of = np.repeat(np.arange(len(pdf)), pdf.terms.map(len))
-        us = np.concatenate(pdf.us.to_numpy()).astype(np.float64)
-        side = pdf.side.to_numpy()
-        ids = pdf.doc_id.to_numpy()
-        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(rows) or not len(columns):
-            return pd.DataFrame({"i": [], "j": [], "score": []}).astype({"i": "int64", "j": "int64", "score": "float64"})
-        out_i, out_j, out_s = [], [], []
-        dense = np.zeros((len(names), len(columns)), np.float64) if len(names) * len(columns) <= 20_000_000 else None
-        right_at = of >= len(rows)
-        if dense is not None:
-            dense[codes[right_at], of[right_at] - len(rows)] = us[right_at]
-        else:
-            order = np.argsort(codes[right_at], kind="stable")
-            r_codes, r_of, r_us = codes[right_at][order], of[right_at][order] - len(rows), us[right_at][order]
-            cut = np.searchsorted(r_codes, np.arange(len(names) + 1))
-        starts = np.searchsorted(of, np.arange(len(rows) + 1))
-        for k_row in range(len(rows)):
-            own = slice(starts[k_row], starts[k_row + 1])
-            if dense is not None:
-                sims = us[own] @ dense[codes[own]]
-            else:
-                sims = np.zeros(len(columns))
-                for c, u in zip(codes[own], us[own], strict=True):
-                    s = slice(cut[c], cut[c + 1])
-                    sims[r_of[s]] += u * r_us[s]
-            sims[ids[columns] == ids[rows[k_row]]] = 0
-            best = np.flatnonzero(sims >= np.partition(sims, -min(k, len(sims)))[-min(k, len(sims))] - 1e-6)
-            best = best[sims[best] > 0]
-            out_i.append(np.full(len(best), ids[rows[k_row]]))
-            out_j.append(ids[columns][best])
-            out_s.append(sims[best])
-        return pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j), "score": np.concatenate(out_s).astype(float)})
-
-    pairs = left.unionByName(right).groupBy("p", "q").applyInPandas(multiply, "i long, j long, score double")
-    return top_similar(pairs, k, digits)
+        p, q = pdf.p.iloc[0], pdf.q.iloc[0]
+        first = (pdf.side == 0) if two else (pdf.b == p)
+        a, b = pdf[first], pdf[~first] if two or p != q else pdf[first]
+        none = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(a) or not len(b):
+            return none
+        sides = (a, b) if two or p != q else (a,)
+        codes = pd.factorize(np.concatenate([np.concatenate(s.terms.to_numpy()) for s in sides]))[0]
+        cut, sparse = 0, []
+        for s in sides:
+            sizes = s.terms.map(len).to_numpy()
+            sparse.append((np.repeat(np.arange(len(s)), sizes), codes[cut : cut + sizes.sum()], np.concatenate(s.us.to_numpy()).astype(float)))
+            cut += sizes.sum()
+        sims = _product(sparse[0], sparse[-1], len(a), len(b))
+        i, j = a.doc_id.to_numpy(), b.doc_id.to_numpy()
+        if not two and p == q:
+            np.fill_diagonal(sims, 0.0)
+        found = [_best(sims, i, j, k, slack)]
+        if not two and p != q:
+            found.append(_best(sims.T, j, i, k, slack))
+        return pd.concat(found)
+
+    return met.groupBy("p", "q").applyInPandas(multiply, "i long, j long, score double")
+
+
+def similar_blocked(matrix: DataFrame, norms: DataFrame, k: int = 5, block: int = BLOCK, digits: int = 6) -> DataFrame:
+    """i, rank, j, score of the k best neighbours of every document, by block multiplication: a join on terms would grow with the squares of their document frequencies."""
+    unit = matrix.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("u"))
+    return top_similar(best_products(unit, k, digits, block), k, digits)
 
 
 def record_view(docs: DataFrame, keywords: DataFrame | None = None) -> DataFrame:

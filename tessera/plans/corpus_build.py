@@ -25,8 +25,8 @@ def preprocess(raw: DataFrame, aliases: dict[str, list[str]]) -> tuple[DataFrame
     return canonical_order(df, ORDER), missing
 
 
-def clean(df: DataFrame, brands: tuple[str, ...] = ("样例数据网", "样例数据")) -> DataFrame:
-    """Texts cleaned, incomplete rows dropped, defaults filled, salaries parsed and ordered, categories normalised."""
+def clean(df: DataFrame, brands: tuple[str, ...]) -> DataFrame:
+    """Texts cleaned (of the names of the collecting site, too), incomplete rows dropped, defaults filled, salaries parsed and ordered, categories normalised."""
     has = set(df.columns)
     for c in [c for c in TEXT_COLUMNS if c in has]:
         df = df.withColumn(c, text.clean_text(F.col(c), brands))

@@ -82,11 +82,8 @@ class Service:
         docs = self.index.docs
         paid = docs.where("salary_min > 0 and salary_max > 0")
         return {
-            "industries": profile.value_counts(docs, "industry", 9),
-            "cities": profile.value_counts(docs, "city", 10),
+            "categories": search.field_counts(docs, {"industry": 9, "city": 10, "education": None, "experience": None}),
             "salaries": profile.histogram(paid, (F.col("salary_min") + F.col("salary_max")) / 2, SALARY_BINS),
-            "education": profile.value_counts(docs, "education"),
-            "experience": profile.value_counts(docs, "experience"),
         }
 
     def counts(self) -> DataFrame:

@@ -10,6 +10,7 @@ from tessera.operators import index as IX
 from tessera.operators import profile as P
 from tessera.operators import search as S
 from tessera.operators.filters import Filters
+from tessera.plans import query_parser as Q
 from tessera.plans import service as SV
 from tessera.queries import views as V
 from tessera.registry import query
@@ -27,50 +28,56 @@ def inverted_index(spark, sf_dir) -> DataFrame:
     return V.all_postings(spark, sf_dir).select("term", "doc_id", "tf", _as_text(F.col("positions")).alias("positions"))
 
 
-@query("lexicon", f"WITH {V.POST} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY term")
+@query("lexicon", f"WITH {V.POST} SELECT term, CAST(doc_id // {IX.SPAN} AS BIGINT) AS part, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY ALL")
 def lexicon(spark, sf_dir) -> DataFrame:
     line = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), " ")
-    return IX.lexicon(V.all_postings(spark, sf_dir)).select("term", "df", line.alias("postings"))
+    return IX.lexicon(V.stored_postings(spark, sf_dir)).select("term", "part", "df", line.alias("postings"))
 
 
 @query("index_stats", f"WITH {V.POST} SELECT (SELECT count(*) FROM occ) AS raw_tokens, CAST(sum(df) AS BIGINT) AS valid_postings, count(*) AS terms, round(avg(df), 6) AS avg_df FROM df")
 def index_stats(spark, sf_dir) -> DataFrame:
-    occ = IX.occurrences(V.token_table(V.records(spark, sf_dir)), _FIELDS)
-    return IX.index_stats(occ, IX.postings(occ))
+    return IX.index_stats(V.token_rows(spark, sf_dir), _FIELDS, V.all_postings(spark, sf_dir))
 
 
 @query("doc_freq", f"WITH {V.POST} SELECT term, df FROM df")
 def doc_freq(spark, sf_dir) -> DataFrame:
-    return IX.document_frequency(V.all_postings(spark, sf_dir))
+    return IX.document_frequency(V.stored_postings(spark, sf_dir))
 
 
 @query("boolean_and", f"WITH {V.TOK} SELECT doc_id FROM tok WHERE list_has_all(list_concat(title_tokens, body_tokens), [{V.quoted(V.TERMS)}])")
 def boolean_and(spark, sf_dir) -> DataFrame:
-    return IX.boolean_and(V.all_postings(spark, sf_dir), V.TERMS)
+    return IX.boolean_and(V.stored_postings(spark, sf_dir), V.TERMS)
 
 
 @query("boolean_or", f"WITH {V.TOK} SELECT doc_id FROM tok WHERE list_has_any(list_concat(title_tokens, body_tokens), [{V.quoted(V.TERMS)}])")
 def boolean_or(spark, sf_dir) -> DataFrame:
-    return IX.boolean_or(V.all_postings(spark, sf_dir), V.TERMS)
+    return IX.boolean_or(V.stored_postings(spark, sf_dir), V.TERMS)
 
 
 @query("boolean_not", f"WITH {V.TOK} SELECT doc_id FROM tok WHERE NOT list_has_any(list_concat(title_tokens, body_tokens), [{V.quoted(V.TERMS)}])")
 def boolean_not(spark, sf_dir) -> DataFrame:
-    return IX.boolean_not(V.table(spark, sf_dir, "documents"), V.all_postings(spark, sf_dir), V.TERMS)
+    return IX.boolean_not(V.table(spark, sf_dir, "documents"), V.stored_postings(spark, sf_dir), V.TERMS)
 
 
 @query("sequential_search", f"WITH {V.TOK} SELECT doc_id FROM tok WHERE list_has_all(list_concat(title_tokens, body_tokens), [{V.quoted(V.TERMS)}])")
 def sequential_search(spark, sf_dir) -> DataFrame:
-    return IX.sequential_and(V.token_table(V.records(spark, sf_dir)), _FIELDS, V.TERMS)
+    return IX.sequential_and(V.token_rows(spark, sf_dir), _FIELDS, V.TERMS)
 
 
 @query("seq_vs_inverted", f"WITH {V.POST} SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS mismatches FROM post")
 def seq_vs_inverted(spark, sf_dir) -> DataFrame:
-    post = V.all_postings(spark, sf_dir)
-    bad = IX.verify(post, V.token_table(V.records(spark, sf_dir)), _FIELDS).agg(F.count(F.lit(1)).alias("mismatches"))
+    post = V.stored_postings(spark, sf_dir)
+    bad = IX.verify(post, V.token_rows(spark, sf_dir), _FIELDS).agg(F.count(F.lit(1)).alias("mismatches"))
     return post.agg(F.count(F.lit(1)).alias("pairs")).crossJoin(bad)  # one row each
 
 
+@query("search_comparison", f"WITH {V.TOK} SELECT unnest(['scan', 'index']) AS method, count(*) AS hits FROM tok WHERE list_has_all(list_concat(title_tokens, body_tokens), [{V.quoted(V.TERMS)}])")
+def search_comparison(spark, sf_dir) -> DataFrame:
+    """Hits of the same terms by a scan of all tokens and by the stored postings; IX.timed tells their seconds."""
+    rows = IX.timed(V.stored_postings(spark, sf_dir), V.token_rows(spark, sf_dir), _FIELDS, V.TERMS)
+    return spark.createDataFrame([(m, n) for m, n, _ in rows], "method string, hits long")
+
+
 _RAW = {"ltc": "(1 + ln(tf)) * ln(n / df)", "nfc": "tf * ln(n / df)", "bfx": "ln(n / df)", "tfx": "CAST(tf AS DOUBLE)"}
 
 
@@ -80,7 +87,7 @@ def _weights(scheme: str) -> None:
 
     @query(f"{scheme}_weights", f"WITH {V.POST} SELECT term, doc_id, round({w}, 6) AS w FROM (SELECT term, doc_id, {_RAW[scheme]} AS w FROM post JOIN df USING (term), n)")
     def run(spark, sf_dir) -> DataFrame:
-        return IX.weights(V.all_postings(spark, sf_dir), V.n_documents(spark, sf_dir), scheme).withColumn("w", F.round("w", 6))
+        return IX.weights(V.stored_postings(spark, sf_dir), V.n_documents(spark, sf_dir), scheme).withColumn("w", F.round("w", 6))
 
 
 for _scheme in _RAW:
@@ -92,7 +99,7 @@ _PARTS = " UNION ALL ".join(f"SELECT count(*) AS stored, round(count(*) / any_va
 
 @query("weight_schemes", f"WITH {V.POST} {_PARTS}")
 def weight_schemes(spark, sf_dir) -> DataFrame:
-    return IX.scheme_stats(V.all_postings(spark, sf_dir), V.n_documents(spark, sf_dir))
+    return IX.scheme_stats(V.stored_postings(spark, sf_dir), V.n_documents(spark, sf_dir))
 
 
 @query("index_build", f"WITH {V.MATRIX} SELECT (SELECT count(*) FROM matrix) AS weights, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM vocab")
@@ -114,7 +121,7 @@ def document_norms(spark, sf_dir) -> DataFrame:
 
 @query("set_consistency", f"WITH {V.MATRIX}, b AS (SELECT term, v.term IS NOT NULL AS a, df.term IS NOT NULL AS b FROM vocab v FULL JOIN df USING (term)) SELECT count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE NOT b) AS only_a, count(*) FILTER (WHERE NOT a) AS only_b FROM b")
 def set_consistency(spark, sf_dir) -> DataFrame:
-    return IX.consistency(V.index(spark, sf_dir).vocabulary, IX.document_frequency(V.all_postings(spark, sf_dir)))
+    return IX.consistency(V.index(spark, sf_dir).vocabulary, IX.document_frequency(V.stored_postings(spark, sf_dir)))
 
 
 def _cosine_sql(out: str) -> str:
@@ -133,9 +140,8 @@ def query_vector(spark, sf_dir) -> DataFrame:
     return S.query_vector(ix.vocabulary, V.TERMS, ix.n_docs).withColumn("q", F.round("q", 6))
 
 
-_AROUND = """greatest(place - 1 - 75, 0)"""
 _SNIP = """SELECT *, coalesce(nullif(position('that' IN low), 0), nullif(position('with' IN low), 0), nullif(position('this' IN low), 0), 0) AS place FROM (SELECT *, lower(body) AS low FROM {0})"""
-_CUT = f"(CASE WHEN {_AROUND} > 0 THEN '...' ELSE '' END) || substring(body, CAST({_AROUND} + 1 AS BIGINT), 150) || (CASE WHEN {_AROUND} + 150 < length(body) THEN '...' ELSE '' END)"
+_CUT = V.snippet_sql("body", 150)
 
 
 @query("search_basic", f"WITH {V.score_sql(V.TERMS)}, top AS (SELECT *, {_TOP} AS rank FROM hits ORDER BY rank LIMIT 10) SELECT CAST(rank AS INTEGER) AS rank, doc_id, title, score, {_CUT} AS snippet FROM ({_SNIP.format('top')})")
@@ -180,6 +186,20 @@ def filter_conjunction(spark, sf_dir) -> DataFrame:
     return S.scored(_no_terms(spark, sf_dir), S.Request([], filters=rules)).select("doc_id", "score")
 
 
+@query("filter_city", f"WITH {V.JOB} SELECT doc_id, city FROM job WHERE city = 'NATION_1' AND salary_max <= 300000")
+def filter_city(spark, sf_dir) -> DataFrame:
+    rules = Filters(city="NATION_1", salary_max=300000)
+    return S.scored(_no_terms(spark, sf_dir), S.Request([], filters=rules)).select("doc_id", "city")
+
+
+@query("merged_filters", f"WITH {V.JOB} SELECT doc_id, city, education FROM job WHERE city = 'NATION_2' AND contains(education, 'HIGH') AND salary_min >= 20000")
+def merged_filters(spark, sf_dir) -> DataFrame:
+    """What a query says and what is asked for beside it: the explicit filter wins."""
+    service = SV.Service(_no_terms(spark, sf_dir), Q.Vocabulary(["NATION_1", "NATION_2"]))
+    r, _ = service.request("NATION_1 20k+", Filters(city="NATION_2", education="HIGH"))
+    return S.scored(_no_terms(spark, sf_dir), S.Request([], filters=r.filters)).select("doc_id", "city", "education")
+
+
 for _key, _order in {"date": "pub_date DESC", "salary_min": "salary_min DESC", "relevance": "score DESC, pub_date DESC", "unknown": "0"}.items():
 
     @query(f"sort_by_{_key}", f"WITH {V.JOB}, hits AS (SELECT *, 50.0 AS score FROM job) SELECT doc_id, pub_date, salary_min, CAST(row_number() OVER (ORDER BY {_order}, doc_id) AS INTEGER) AS rank FROM hits QUALIFY rank <= 20")
@@ -251,9 +271,7 @@ def geo_join(spark, sf_dir) -> DataFrame:
 
 @query("service_statistics", f"WITH {V.JOB} SELECT 'industry' AS field, value, n FROM (SELECT industry AS value, count(*) AS n FROM job GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 9) UNION ALL SELECT 'city', value, n FROM (SELECT city AS value, count(*) AS n FROM job GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) UNION ALL SELECT 'education', education, count(*) FROM job GROUP BY 2 UNION ALL SELECT 'experience', experience, count(*) FROM job GROUP BY 2")
 def service_statistics(spark, sf_dir) -> DataFrame:
-    parts = SV.Service(_no_terms(spark, sf_dir)).statistics()
-    named = [parts[k].select(F.lit(f).alias("field"), "value", "n") for k, f in (("industries", "industry"), ("cities", "city"), ("education", "education"), ("experience", "experience"))]
-    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+    return SV.Service(_no_terms(spark, sf_dir)).statistics()["categories"]
 
 
 @query("salary_bins", f"WITH {V.JOB}, e AS (SELECT unnest([0.01, 5000, 8000, 10000, 15000, 20000, 30000, 50000]) AS low, CAST(unnest(range(8)) AS INTEGER) AS bin), b AS (SELECT bin, CAST(low AS DOUBLE) AS low, CAST(lead(low) OVER (ORDER BY bin) AS DOUBLE) AS high FROM e) SELECT bin, low, high, (SELECT count(*) FROM job WHERE salary_min > 0 AND salary_max > 0 AND (salary_min + salary_max) / 2 >= low AND (high IS NULL OR (salary_min + salary_max) / 2 < high)) AS n FROM b")

@@ -10,8 +10,9 @@ from tessera.operators import evaluate as E
 from tessera.operators import sampling as SA
 from tessera.queries import views as V
 from tessera.registry import query
+from tessera.session import materialise, shared_dir
 
-_RUN = """j AS (SELECT CAST(o_custkey % 100 AS INTEGER) AS query_id, o_orderkey AS rank, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rel FROM orders WHERE o_orderkey % 11 = 0),
+_RUN = """j AS (SELECT CAST(o_custkey % 100 AS INTEGER) AS query_id, o_orderkey AS rank, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rel FROM orders),
 kept AS (SELECT query_id, rank, rel FROM j WHERE rel IS NOT NULL AND query_id IN (SELECT query_id FROM j GROUP BY 1 HAVING sum(rel) > 0)),
 run AS (SELECT *, row_number() OVER w AS place, sum(rel) OVER w AS hits, sum(rel) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM kept WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT query_id, CAST(any_value(total) AS BIGINT) AS n_rel, round(sum(rel) FILTER (WHERE place <= 5) / 5, 6) AS p_at_5, round(sum(rel) FILTER (WHERE place <= 10) / 10, 6) AS p_at_10, round(avg(hits / place) FILTER (WHERE rel = 1), 6) AS ap,
@@ -19,7 +20,7 @@ m AS (SELECT query_id, CAST(any_value(total) AS BIGINT) AS n_rel, round(sum(rel)
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    o = V.table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
+    o = V.table(spark, sf_dir, "orders")
     rel = F.when(F.col("o_orderkey") % 17 == 0, None).when(F.col("o_orderstatus") == "F", 1).otherwise(0)
     return E.judged(o.select((F.col("o_custkey") % 100).cast("int").alias("query_id"), F.col("o_orderkey").alias("rank"), rel.alias("rel")))
 
@@ -85,9 +86,14 @@ def _labels(spark, sf_dir) -> DataFrame:
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    labels = _labels(spark, sf_dir)
-    tokens = V.token_table(V.records(spark, sf_dir)).select("doc_id", F.col("body_tokens").alias("tokens")).join(labels.select("doc_id"), "doc_id", "left_semi")
-    return C.train_df_vectors(tokens, labels.where("is_train")), labels
+    """Vectors and split of the labelled documents, written once: everything below starts from them."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        labels = materialise(_labels(spark, sf_dir))
+        tokens = _bodies(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi")
+        return materialise(C.train_df_vectors(tokens, labels.where("is_train"))), labels
+
+    return V.stored(spark, sf_dir, "vectors", make)
 
 
 @query("stratified_split", f"WITH {_SPLIT} SELECT doc_id, label, is_train FROM spl")
@@ -170,11 +176,40 @@ def knn_metrics(spark, sf_dir) -> DataFrame:
     return C.metrics(C.confusion(C.knn_vote(neighbours, 10), labels, 2))
 
 
+_ALL = _NB.replace(_SPLIT, f"{V.TOK},\nspl AS (SELECT doc_id, CAST(quality AS INTEGER) AS label, true AS is_train FROM labels)").replace("FROM tok SEMI JOIN spl USING (doc_id))", "FROM tok)").replace("FROM vec v JOIN spl s ON v.doc_id = s.doc_id AND NOT is_train CROSS JOIN tot t", "FROM vec v CROSS JOIN tot t").replace("FROM ctf JOIN spl", "FROM ctf JOIN spl")
+
+
+def _model(spark, sf_dir) -> C.NbModel:
+    """Trained on all labels, stored, and read back as a new session would."""
+
+    def make() -> C.NbModel:
+        labels = V.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+        C.NbModel.fit(_bodies(spark, sf_dir), labels).save(path := f"{shared_dir(spark)}/model")
+        return C.NbModel.load(spark, path)
+
+    return V.stored(spark, sf_dir, "model", make)
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    return V.token_rows(spark, sf_dir).select("doc_id", F.col("body_tokens").alias("tokens"))
+
+
+@query("stored_model", f"WITH {_ALL} SELECT label, docs, total, (SELECT count(*) FROM cnt c WHERE c.label = tot.label) AS terms FROM tot")
+def stored_model(spark, sf_dir) -> DataFrame:
+    model = _model(spark, sf_dir)
+    return model.totals.join(model.counts.groupBy("label").agg(F.count(F.lit(1)).alias("terms")), "label")
+
+
+@query("corpus_predictions", f"WITH {_ALL}, e AS (SELECT doc_id, label, score, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM nbs) SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS confidence FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1")
+def corpus_predictions(spark, sf_dir) -> DataFrame:
+    """The stored model's label of every document that has tokens."""
+    return _model(spark, sf_dir).predict(_bodies(spark, sf_dir)).select("doc_id", "label", "confidence")
+
+
 @query("model_grid")
 def model_grid(spark, sf_dir) -> DataFrame:
     """Metrics of every k and every alpha."""
     vectors, labels = _vectors(spark, sf_dir)
-    vectors, labels = vectors.cache(), labels.cache()
-    knn = C.knn_grid(C.knn_neighbours(vectors, labels).cache(), labels, 2).select(F.concat(F.lit("knn "), F.col("k").cast("string")).alias("model"), "average", "p", "r", "f1", "bep")
+    knn = C.knn_grid(materialise(C.knn_neighbours(vectors, labels)), labels, 2).select(F.concat(F.lit("knn "), F.col("k").cast("string")).alias("model"), "average", "p", "r", "f1", "bep")
     nb = C.nb_grid(vectors, labels, 2).select(F.concat(F.lit("nb "), F.col("alpha").cast("string")).alias("model"), "average", "p", "r", "f1", "bep")
     return knn.unionByName(nb)

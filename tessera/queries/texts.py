@@ -23,6 +23,8 @@ _FIXTURE = [
     (8, None, "负责大型系统设计与开发以及其他若干工作内容", "不限", "  7000 ", "", "a b　c"),
     (9, "学士学位", "半年经验", "苏州", "9000.5", "9000.4", "plain"),
 ]
+#: The names of the collecting site in the fixture.
+BRANDS = ("样例数据网", "样例数据")
 _SCHEMA = "k int, education string, experience string, city string, low string, high string, body string"
 
 
@@ -43,18 +45,22 @@ def _fixture(spark) -> DataFrame:
 
 
 def _clean_sql(column: str) -> str:
-    out = reduce(lambda c, s: f"regexp_replace({c}, '{s[0]}', '{s[1]}', 'g')", text.cleaning_steps(), column)
+    out = reduce(lambda c, s: f"regexp_replace({c}, '{s[0]}', '{s[1]}', 'g')", text.cleaning_steps(BRANDS), column)
     return f"CASE WHEN {column} IS NULL OR trim({column}) = '' THEN '' ELSE {out} END"
 
 
 @query("clean_text", f"SELECT doc_id, {_clean_sql('text')} AS cleaned FROM documents")
 def clean_text(spark, sf_dir) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text"), BRANDS).alias("cleaned"))
 
 
-@query("clean_text_cases", f"WITH {_ROWS} SELECT k, {_clean_sql('body')} AS cleaned FROM fx")
+#: Worked by hand from the statement of the rules.
+_CLEANED = [(1, "由 你 负责 我 ok\n\nend"), (2, "岗位职责：1、开发 2、测试"), (3, "任职要求:熟悉Python"), (4, ""), (5, ""), (6, ""), (7, "more data x"), (8, "a b c"), (9, "plain")]
+
+
+@query("clean_text_cases", f"SELECT CAST(k AS INTEGER) AS k, cleaned FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in _CLEANED)}) AS t(k, cleaned)")
 def clean_text_cases(spark, sf_dir) -> DataFrame:
-    return _fixture(spark).select("k", text.clean_text(F.col("body")).alias("cleaned"))
+    return _fixture(spark).select("k", text.clean_text(F.col("body"), BRANDS).alias("cleaned"))
 
 
 _EDU = "CASE WHEN education IS NULL OR trim(education) = '' THEN '学历不限' " + " ".join(f"WHEN regexp_matches(education, '{p}') THEN '{v}'" for v, p in (("博士", "博士"), ("硕士", "硕士"), ("本科", "本科|学士"), ("大专", "大专|专科"), ("中技/中专", "中专|中技|中职|技校|职高"), ("高中", "高中"), ("初中及以下", "初中"))) + " ELSE '学历不限' END"
@@ -98,12 +104,12 @@ def default_fill(spark, sf_dir) -> DataFrame:
 
 @query("clean_corpus", f"WITH {_ROWS}, c AS (SELECT k, {_clean_sql('body')} AS body, {_clean_sql('education')} AS education, {_clean_sql('city')} AS city FROM fx) SELECT k, body, {_EDU} AS education, {_CITY} AS city FROM c WHERE trim(body) <> ''")
 def clean_corpus(spark, sf_dir) -> DataFrame:
-    return CB.clean(_fixture(spark).select("k", "body", "education", "city"))
+    return CB.clean(_fixture(spark).select("k", "body", "education", "city"), BRANDS)
 
 
 @query("normalised_tokens", f"WITH {V.TOK} SELECT doc_id, array_to_string(title_tokens, '/') AS title_tokens, len(body_tokens) AS n_tokens FROM tok")
 def normalised_tokens(spark, sf_dir) -> DataFrame:
-    t = V.token_table(V.records(spark, sf_dir))
+    t = V.token_rows(spark, sf_dir)
     return t.select("doc_id", text.encode_tokens(F.col("title_tokens")).alias("title_tokens"), F.size("body_tokens").cast("long").alias("n_tokens"))
 
 
@@ -113,7 +119,7 @@ def token_codec(spark, sf_dir) -> DataFrame:
     return V.table(spark, sf_dir, "part").select("p_partkey", words.getItem(1).alias("second"), F.size(words).cast("long").alias("n"))
 
 
-_PUNCT = text._PUNCTUATION
+_PUNCT = text.char_class(text.KEYWORD_MARKS)
 _TOKEN = "'开发' 'Python' 'c' 'C+' '3.5%' '2024' 'ab' 'abc' '的人' '上市' '进口' '数据。' '工程师' 'x' '与会'".replace("'", "").split()
 
 
@@ -145,7 +151,7 @@ def highlight(spark, sf_dir) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", present.highlight(F.col("text"), ["that"]).alias("marked"))
 
 
-@query("snippet", "SELECT doc_id, (CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(text, s + 1, 100) || (CASE WHEN s + 100 < length(text) THEN '...' ELSE '' END) AS snippet FROM (SELECT doc_id, text, greatest(position('with' IN lower(text)) - 51, 0) AS s FROM documents)")
+@query("snippet", f"SELECT doc_id, {V.snippet_sql('text', 100)} AS snippet FROM (SELECT doc_id, text, position('with' IN lower(text)) AS place FROM documents)")
 def snippet(spark, sf_dir) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", present.snippet(F.col("text"), ["with"], 100, mark=False).alias("snippet"))
 
@@ -156,10 +162,17 @@ def display_forms(spark, sf_dir) -> DataFrame:
     return V.table(spark, sf_dir, "orders").select("o_orderkey", present.money(price).alias("money"), present.salary_text(price, price * 1.5).alias("salary"), present.percent(F.col("o_orderkey"), F.lit(17000)).alias("pct"), present.grouped(F.col("o_orderkey")).alias("grouped"))
 
 
-@query("description_lines")
+_HEADS = "|".join(present.HEADERS)
+_DESCRIBED = "'说明。岗位职责：1、' || p_name || ' 2.' || p_brand || '！任职要求:' || p_type || chr(13) || chr(10) || '三、' || p_size || ' 福利待遇 12)a' || chr(10) || chr(9) || '公司简介 x'"
+
+
+@query("description_lines", rf"""WITH cut AS (SELECT p_partkey, regexp_replace(regexp_replace({_DESCRIBED}, '([。！？\s])([0-9]+[.、)）])', '\1' || chr(10) || '\2', 'g'), '([。！？\s])((?:{_HEADS})[：:])', '\1' || chr(10) || '\2', 'g') AS t FROM part),
+lined AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(t, '\r\n?|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM cut)
+SELECT p_partkey, CAST(place AS INTEGER) AS pos, CASE WHEN regexp_matches(line, '^(?:{_HEADS})') THEN 'head' WHEN regexp_matches(line, '^[0-9一二三四五六七八九十]+[.、)）]') THEN 'item' ELSE 'para' END AS kind, line FROM (SELECT p_partkey, unnest(l) AS line, unnest(range(len(l))) AS place FROM lined)""")
 def description_lines(spark, sf_dir) -> DataFrame:
-    lines = _fixture(spark).select("k", F.posexplode(present.description_lines(F.col("body"))).alias("pos", "x"))
-    return lines.select("k", "pos", "x.kind", "x.line")
+    body = F.expr("concat('说明。岗位职责：1、', p_name, ' 2.', p_brand, '！任职要求:', p_type, char(13), char(10), '三、', p_size, ' 福利待遇 12)a', char(10), char(9), '公司简介 x')")
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", F.posexplode(present.description_lines(body)).alias("pos", "x"))
+    return rows.select("p_partkey", "pos", "x.kind", "x.line")
 
 
 @query("company_matches", "SELECT doc_id, source, contains(lower('src1 that'), lower(source)) OR contains(lower(source), lower('src1 that')) AS matches FROM documents")

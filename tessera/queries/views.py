@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import TOKEN_RE2, tokens
 from tessera.operators import index as IX
 from tessera.operators import search as S
-from tessera.session import shared_dir
+from tessera.session import materialise, shared_dir
 
 FIRST_LINE = r"^[^.\n]*"
 TERMS = ["that", "with", "this"]
@@ -32,27 +32,46 @@ def token_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokens(F.col("title")).alias("title_tokens"), tokens(F.col("body")).alias("body_tokens"))
 
 
+#: What was stored by this process for a folder: token table, postings, index.
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make, again: bool = False):
+    """What make gives, once for each application and folder; like any stored table it shows the documents as they were."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if again or key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def token_rows(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """The token table of the documents, written once: all term statistics and indexes start from it."""
+    return stored(spark, sf_dir, "tokens", lambda: materialise(token_table(records(spark, sf_dir))), again)
+
+
 def all_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IX.postings(IX.occurrences(token_table(records(spark, sf_dir)), ["body_tokens", "title_tokens"]))
+    return IX.postings(token_rows(spark, sf_dir), ["body_tokens", "title_tokens"])
 
 
-def n_documents(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "documents").count()
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings, written once, ranged and sorted by term: a lookup of terms reads little more than their row groups."""
+    return stored(spark, sf_dir, "postings", lambda: materialise(all_postings(spark, sf_dir).repartitionByRange("term").sortWithinPartitions("term")))
 
 
-_BUILT: dict[tuple[str, str], S.Index] = {}
+def n_documents(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "documents").count()
 
 
 def index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> S.Index:
-    """The search index of the documents, built and written once for each application and folder.
+    """The search index of the documents, built from the token table, written, and read back as a new session would."""
 
-    Like any stored index it shows the documents as they were; rebuild makes a new one.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if rebuild or key not in _BUILT:
+    def make() -> S.Index:
         docs = records(spark, sf_dir)
-        _BUILT[key] = S.build(docs, token_table(docs)).written(f"{shared_dir(spark)}/index")
-    return _BUILT[key]
+        path = f"{shared_dir(spark)}/index"
+        S.build(docs, token_rows(spark, sf_dir)).written(path)
+        return S.Index.read(docs, path)
+
+    return stored(spark, sf_dir, "index", make, rebuild)
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +88,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same as SQL: strings to be put after WITH
 
-WORDS = r"list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda w: length(w) >= 2)"
+WORDS = "list_filter(regexp_extract_all(lower({0}), '" + TOKEN_RE2.replace("{", "{{").replace("}", "}}") + "'), lambda w: length(w) >= 2)"
 REC = r"""rec AS (SELECT doc_id, regexp_extract(text, '^[^.\n]*') AS title, text AS body, source AS company, lang AS industry, source AS city,
   CAST(n_chars AS DOUBLE) AS salary_min, CAST(n_chars AS DOUBLE) AS salary_max FROM documents)"""
 TOK = f"{REC},\ntok AS (SELECT doc_id, {WORDS.format('title')} AS title_tokens, {WORDS.format('body')} AS body_tokens FROM rec)"
@@ -104,3 +123,10 @@ cos AS (SELECT doc_id, sum(w * q) / any_value(norm) AS cosine FROM matrix JOIN q
 hits AS (SELECT * EXCLUDE (raw), round(raw * 50, 2) AS score FROM (
   SELECT rec.*, coalesce(cosine, 0.0) * power(2.0, len(list_intersect(title_tokens, [{quoted(terms)}]))) + {bonus} AS raw
   FROM rec JOIN tok USING (doc_id) LEFT JOIN cos USING (doc_id) WHERE {where}) WHERE raw > 0.0001)"""
+
+
+def snippet_sql(text: str, most: int) -> str:
+    """The snippet of a text around place (1 for the first character, 0 if nothing is found)."""
+    lo, hi = f"greatest(place - 1 - {most // 2}, 0)", f"least(place - 1 + {most // 2}, length({text}))"
+    around = f"(CASE WHEN {lo} > 0 THEN '...' ELSE '' END) || substring({text}, CAST({lo} + 1 AS BIGINT), CAST({hi} - {lo} AS BIGINT)) || (CASE WHEN {hi} < length({text}) THEN '...' ELSE '' END)"
+    return f"CASE WHEN place = 0 THEN substring({text}, 1, {most}) ELSE {around} END"

@@ -65,3 +65,12 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
         else:
             fs.delete(p, True)
     _MADE[since:] = rest
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a materialised frame that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE[:] = [m for m in _MADE if m.rpartition("/")[2] not in folder]

@@ -8,8 +8,6 @@ import pytest
 from tessera.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: They take long on small machines and are covered by tests of their operators.
-SLOW = {"model_grid", "kmeans_words"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +40,7 @@ def test_same_as_sql(spark, sf_dir, duck, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

@@ -20,6 +20,7 @@ from tessera.operators import profile as P
 from tessera.operators import sampling as SA
 from tessera.operators import search as S
 from tessera.operators import segment as G
+from tessera.operators import tokenise as TK
 from tessera.plans import corpus_build as CB
 from tessera.plans import query_parser as Q
 from tessera.plans.service import Service
@@ -127,9 +128,9 @@ def test_normalisers(spark, f, raw, value):
 
 
 def test_cleaning(spark):
-    assert one(spark, "a\xa0b　c\r\nd\t\te\n\n\n\nf", text.clean_text) == "a b c\nd e\n\nf"
-    assert one(spark, "见 https://a.cn/x?y=1 。", text.clean_text) == "见 。"
-    assert one(spark, None, text.clean_text) == ""
+    assert one(spark, "a\xa0b　c\r\nd\t\te\n\n\n\nf", lambda c: text.clean_text(c, ("某站",))) == "a b c\nd e\n\nf"
+    assert one(spark, "见 https://a.cn/x?y=1 。", lambda c: text.clean_text(c, ("某站",))) == "见 。"
+    assert one(spark, None, lambda c: text.clean_text(c, ("某站",))) == ""
 
 
 # Index and search
@@ -145,19 +146,19 @@ def little(spark):
 
 def test_positions_count_filtered_tokens(spark):
     t = spark.createDataFrame([(0, ["aa", "of", "aa"], ["bb"])], "doc_id long, body array<string>, title array<string>")
-    got = {r.term: (r.tf, r.positions) for r in IX.postings(IX.occurrences(t, ["body", "title"]), ["of"]).collect()}
+    got = {r.term: (r.tf, r.positions) for r in IX.postings(t, ["body", "title"], ["of"]).collect()}
     assert got == {"aa": (2, [0, 2]), "bb": (1, [3])}
 
 
 def test_ltc_weights_by_hand(spark):
     t = spark.createDataFrame([(1, ["aa", "aa", "bb"]), (2, ["bb"])], "doc_id long, body array<string>")
-    got = {(r.doc_id, r.term): r.w for r in IX.weights(IX.postings(IX.occurrences(t, ["body"])), 2).collect()}
+    got = {(r.doc_id, r.term): r.w for r in IX.weights(IX.postings(t, ["body"]), 2).collect()}
     assert got == {(1, "aa"): 1.0, (1, "bb"): 0.0, (2, "bb"): 0.0}
 
 
 def test_index_agrees_with_the_scan_on_all_terms(little):
     _, tokens = little
-    post = IX.postings(IX.occurrences(tokens, ["title_tokens", "body_tokens"]))
+    post = IX.postings(tokens, ["title_tokens", "body_tokens"])
     assert IX.verify(post, tokens, ["title_tokens", "body_tokens"]).count() == 0
     assert {r.doc_id for r in IX.boolean_and(post, ["aa", "bb"]).collect()} == {0, 2}
     assert IX.boolean_and(post, []).count() == IX.boolean_and(post, ["aa", "nowhere"]).count() == 0
@@ -353,12 +354,12 @@ def test_corpus_build(spark):
     aliases = {"ext_id": ["编号"], "company": ["公司名称", "企业名称"], "industry": ["行业"], "title": ["title"], "city": ["city"], "salary_min": ["lo"], "salary_max": ["hi"], "body": ["body"], "education": ["edu"], "experience": ["exp"], "pub_date": ["pub"], "stock": ["none"]}
     df, missing = CB.preprocess(raw, aliases)
     assert missing == ["stock"]
-    rows = CB.clean(df).collect()
+    rows = CB.clean(df, ("某站",)).collect()
     assert len(rows) == 1
     r = rows[0]
     assert (r.salary_min, r.salary_max, r.city, r.education, r.experience) == (10000.0, 20000.0, "上海", "本科", "8年及以上")
     assert (str(r.pub_date), str(r.end_date)) == ("2026-01-05", "2026-03-06")
-    report = CB.quality_report(df, CB.clean(df), {"links": "http"})
+    report = CB.quality_report(df, CB.clean(df, ("某站",)), {"links": "http"})
     assert report["comparison"].count() == len(df.columns)
 
 
@@ -367,7 +368,85 @@ def test_features_have_the_inner_products_of_all_documents(spark):
     x = r.random((40, 900)) * (r.random((40, 900)) < 0.2)
     x /= np.sqrt((x**2).sum(1, keepdims=True))
     rows = [(f"t{i:02d}", int(d), float(x[i, d])) for i in range(40) for d in np.flatnonzero(x[i])]
-    out = CL.exact_features(spark.createDataFrame(rows, "term string, doc_id long, w double"))
-    got = np.array([v.features.toArray() for v in out.orderBy("term").collect()])
-    assert np.abs(got @ got.T - x @ x.T).max() < 1e-9
-    assert CL.exact_features(spark.createDataFrame([], "term string, doc_id long, w double")).count() == 0
+    words = CL.Words.of(spark.createDataFrame(rows, "term string, doc_id long, w double"))
+    assert words.terms == [f"t{i:02d}" for i in range(40)]
+    assert np.abs(words.x @ words.x.T - x @ x.T).max() < 1e-9
+    none = CL.Words.of(spark.createDataFrame([], "term string, doc_id long, w double"))
+    assert none.terms == [] and len(CL.kmeans(none)[0]) == 0 and none.labelled(CL.hierarchical(none, 3)).count() == 0
+
+
+def test_kmeans_and_silhouette():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.3, (20, 4)) for c in (0, 4, 9)])
+    labels = CL.kmeans_labels(x, 3)
+    assert all(len(set(labels[k : k + 20])) == 1 for k in (0, 20, 40)) and len(set(labels)) == 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(60):
+        own = [d[i, j] for j in range(60) if labels[j] == labels[i] and j != i]
+        other = min(np.mean([d[i, j] for j in range(60) if labels[j] == c]) for c in set(labels) - {labels[i]})
+        want.append((other - np.mean(own)) / max(other, np.mean(own)))
+    assert math.isclose(CL.silhouette(x, labels), np.mean(want), rel_tol=1e-9)
+    assert CL.silhouette(x, np.zeros(60, int)) == -1.0
+    assert len(set(CL.kmeans_labels(np.ones((5, 2)), 3))) >= 1
+
+
+def test_principal_components():
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (50, 5)) * [5, 3, 1, 0.5, 0.1]
+    xy, shares = CL.pca(CL.Words(None, [str(i) for i in range(50)], x))
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert np.allclose(xy.var(0, ddof=1), values[:2]) and np.allclose(shares, values[:2] / values.sum())
+    assert abs(xy[:, 0] @ xy[:, 1]) < 1e-8 and (xy[np.abs(xy).argmax(0), [0, 1]] > 0).all()
+
+
+def test_overlap_of_clusterings(spark):
+    rows = [(i, m, c) for m, own in (("x", [0, 0, 0, 1, 1, 1]), ("y", [5, 5, 6, 6, 6, 6])) for i, c in enumerate(own)]
+    assert [tuple(r) for r in CL.overlap(spark.createDataFrame(rows, "item int, method string, cluster int")).collect()] == [("x", "y", round(5 / 6, 6))]
+
+
+# One tokeniser, stored indexes and models
+
+TEXTS = ["für Straße k8s C++ 北京 数据分析 Python3", "naïve café_au", "", None, "单", "a b2 C#", "数据 x 分析师。产品"]
+
+
+def test_documents_and_queries_have_the_same_tokens(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "s string")
+    for words in (set(), {"数据", "分析", "分析师", "北京", "产品"}):
+        got = [r[0] for r in df.select(TK.tokens(F.col("s"), words)).collect()]
+        assert got == [[w for w in TK.words_of(t, words) if len(w) >= 2] for t in TEXTS]
+    assert TK.words_of(TEXTS[0], {"北京", "数据", "分析"}) == ["für", "straße", "k8s", "c++", "北京", "数据", "分析", "python3"]
+    assert TK.words_of("数据，x!", {"数据"}, punctuation=True) == ["数据", "，", "x", "!"]
+    assert Q.tokenize("Python3 数据分析 für") == ["python3", "数据", "据分", "分析", "für"]
+
+
+def test_products_of_two_sides(spark):
+    r = np.random.default_rng(4)
+    x = r.random((60, 30)) * (r.random((60, 30)) < 0.4)
+    rows = [(int(d), f"t{t}", float(x[d, t]), int(d >= 20)) for d in range(60) for t in np.flatnonzero(x[d])]
+    df = spark.createDataFrame(rows, "doc_id long, term string, u double, side int")
+    got = {(p.i, p.j): p.score for p in S.best_products(df, 3, block=7).collect()}
+    for i in range(20):
+        best = sorted(range(20, 60), key=lambda j: -(x[i] @ x[j]))[:3]
+        assert all(math.isclose(got[i, j], x[i] @ x[j], abs_tol=1e-9) for j in best if x[i] @ x[j] > 0)
+    assert all(i < 20 <= j for i, j in got)
+
+
+def test_stored_model_predicts_as_before(spark, tmp_path):
+    rows = [(i, ["good", "fine", f"w{i}"] if i % 2 else ["bad", "poor", f"w{i}"]) for i in range(20)]
+    tokens = spark.createDataFrame([*rows, (98, ["good", "unknown"]), (99, [])], "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(98, None)], "doc_id long, label int")
+    model = C.NbModel.fit(tokens, labels)
+    own = sorted(map(tuple, model.predict(tokens).collect()))
+    model.save(f"file://{tmp_path}/m")
+    assert sorted(map(tuple, C.NbModel.load(spark, f"file://{tmp_path}/m").predict(tokens).collect())) == own
+    assert {d: label for d, _, label, _ in own} == {i: i % 2 for i in range(20)} | {98: 1}
+
+
+def test_stored_index_answers_as_before(little, tmp_path):
+    docs, tokens = little
+    ix = S.build(docs, tokens)
+    before = S.scored(ix, S.Request(["cc"])).select("doc_id", "score").collect()
+    ix.written(f"file://{tmp_path}/ix")
+    again = S.Index.read(docs, f"file://{tmp_path}/ix")
+    assert S.scored(again, S.Request(["cc"])).select("doc_id", "score").collect() == before and len(before) == 1
