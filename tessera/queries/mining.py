@@ -46,7 +46,7 @@ def bigram_counts(spark, sf_dir) -> DataFrame:
     return R.adjacent_pairs(words)
 
 
-_TFIDF = f"""{V.TOK},
+TFIDF = f"""{V.TOK},
 kdoc AS (SELECT * FROM tok WHERE len(body_tokens) > 0),
 ktf AS (SELECT doc_id, term, sum(one) AS tf FROM (SELECT doc_id, unnest(title_tokens) AS term, 2.0::DOUBLE AS one FROM kdoc UNION ALL SELECT doc_id, unnest(body_tokens), 1.0::DOUBLE FROM kdoc) GROUP BY ALL),
 kdf AS (SELECT term, count(*) AS df FROM ktf GROUP BY term),
@@ -58,12 +58,12 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return V.token_rows(spark, sf_dir)
 
 
-@query("tfidf_keywords", f"WITH {_TFIDF} SELECT doc_id, term, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw WHERE rank <= 10")
+@query("tfidf_keywords", f"WITH {TFIDF} SELECT doc_id, term, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw WHERE rank <= 10")
 def tfidf_keywords(spark, sf_dir) -> DataFrame:
     return K.tfidf(_tokens(spark, sf_dir)).select("doc_id", "term", F.round("score", 6).alias("score"), "rank")
 
 
-@query("keyword_candidates", f"WITH {_TFIDF} SELECT doc_id, term, CAST(rank AS INTEGER) AS rank FROM kw")
+@query("keyword_candidates", f"WITH {TFIDF} SELECT doc_id, term, CAST(rank AS INTEGER) AS rank FROM kw")
 def keyword_candidates(spark, sf_dir) -> DataFrame:
     return K.tfidf(_tokens(spark, sf_dir), K.CANDIDATES).select("doc_id", "term", "rank")
 
@@ -72,7 +72,7 @@ _EDGES = """kocc AS (SELECT o.doc_id, o.term, o.pos FROM (SELECT doc_id, unnest(
 edges AS (SELECT a.doc_id, least(a.term, b.term) AS src, greatest(a.term, b.term) AS dst, count(*) AS weight FROM kocc a JOIN kocc b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 AND a.term <> b.term GROUP BY ALL)"""
 
 
-@query("cooccurrence_edges", f"WITH {_TFIDF}, {_EDGES} SELECT * FROM edges")
+@query("cooccurrence_edges", f"WITH {TFIDF}, {_EDGES} SELECT * FROM edges")
 def cooccurrence_edges(spark, sf_dir) -> DataFrame:
     t = _tokens(spark, sf_dir)
     return K.cooccurrence(t, K.tfidf(t, K.CANDIDATES))
@@ -96,7 +96,7 @@ rank_(round_, doc_id, terms, x) AS (
 final AS (SELECT doc_id, unnest(terms) AS term, unnest(x) AS score FROM rank_ WHERE round_ = {_ROUNDS}),
 tr AS (SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS rank FROM final QUALIFY rank <= 10)"""
 _GRAPH = "graph AS (SELECT d.doc_id, coalesce(list({{'a': a, 'b': b, 'share': share}}) FILTER (WHERE a IS NOT NULL), []) AS arcs, coalesce(list(DISTINCT a) FILTER (WHERE a IS NOT NULL), []) AS bound FROM (SELECT DISTINCT doc_id FROM node) d LEFT JOIN flow USING (doc_id) GROUP BY d.doc_id)"
-_TEXTRANK = f"{_TFIDF}, {_EDGES}, " + _RANK.replace("rank_(round_", _GRAPH.format() + ",\nrank_(round_")
+_TEXTRANK = f"{TFIDF}, {_EDGES}, " + _RANK.replace("rank_(round_", _GRAPH.format() + ",\nrank_(round_")
 
 
 @query("textrank_keywords", f"WITH RECURSIVE {_TEXTRANK} SELECT doc_id, term, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM tr")
@@ -104,7 +104,7 @@ def textrank_keywords(spark, sf_dir) -> DataFrame:
     return _graph_ranked(spark, sf_dir).select("doc_id", "term", F.round("score", 6).alias("score"), "rank")
 
 
-_PLAIN = _TFIDF.replace("2.0::DOUBLE AS one", "1.0::DOUBLE AS one")
+_PLAIN = TFIDF.replace("2.0::DOUBLE AS one", "1.0::DOUBLE AS one")
 _LISTS = f"""{_TEXTRANK},
 tf_list AS (SELECT doc_id, list(term ORDER BY rank) AS keywords FROM kw WHERE rank <= 10 GROUP BY doc_id),
 tr_list AS (SELECT doc_id, list(term ORDER BY rank) AS keywords FROM tr GROUP BY doc_id)"""
@@ -137,7 +137,7 @@ def _in_order(column: str):
     return F.array_sort(F.array_distinct(column))
 
 
-@query("keyword_evaluation", f"""WITH a AS (WITH {_TFIDF} SELECT doc_id, list(term) AS p FROM kw WHERE rank <= 10 GROUP BY doc_id), b AS (WITH {_PLAIN} SELECT doc_id, list(term) AS g FROM kw WHERE rank <= 5 GROUP BY doc_id),
+@query("keyword_evaluation", f"""WITH a AS (WITH {TFIDF} SELECT doc_id, list(term) AS p FROM kw WHERE rank <= 10 GROUP BY doc_id), b AS (WITH {_PLAIN} SELECT doc_id, list(term) AS g FROM kw WHERE rank <= 5 GROUP BY doc_id),
 m AS (SELECT len(list_intersect(p, g)) / len(p) AS p, len(list_intersect(p, g)) / len(g) AS r FROM a JOIN b USING (doc_id))
 SELECT count(*) AS n, round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM m""")
 def keyword_evaluation(spark, sf_dir) -> DataFrame:
@@ -146,7 +146,7 @@ def keyword_evaluation(spark, sf_dir) -> DataFrame:
     return K.evaluate(K.as_lists(K.tfidf(t)), gold)
 
 
-@query("keywords_by_dimension", f"WITH {_TFIDF}, c AS (SELECT industry AS value, term, count(*) AS n FROM kw JOIN rec USING (doc_id) WHERE rank <= 10 AND trim(industry) <> '' GROUP BY ALL) SELECT value, term, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 20")
+@query("keywords_by_dimension", f"WITH {TFIDF}, c AS (SELECT industry AS value, term, count(*) AS n FROM kw JOIN rec USING (doc_id) WHERE rank <= 10 AND trim(industry) <> '' GROUP BY ALL) SELECT value, term, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 20")
 def keywords_by_dimension(spark, sf_dir) -> DataFrame:
     return K.by_dimension(K.as_lists(K.tfidf(_tokens(spark, sf_dir))), V.records(spark, sf_dir), "industry")
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import present
 from tessera.operators import index as IX
+from tessera.operators import keywords as K
 from tessera.operators import profile as P
 from tessera.operators import search as S
 from tessera.operators.filters import Filters
 from tessera.plans import query_parser as Q
 from tessera.plans import service as SV
 from tessera.queries import views as V
+from tessera.queries.mining import TFIDF as KEYWORDS
 from tessera.registry import query
+from tessera.sources import readers
 
 _TOP = "row_number() OVER (ORDER BY score DESC, doc_id)"
 _FIELDS = ["body_tokens", "title_tokens"]
@@ -288,3 +291,15 @@ def result_cards(spark, sf_dir) -> DataFrame:
 @query("share_of_total", f"WITH {V.JOB}, c AS (SELECT industry AS value, count(*) AS n FROM job GROUP BY industry) SELECT value, n, round(100.0 * n / sum(n) OVER (), 4) AS share FROM c")
 def share_of_total(spark, sf_dir) -> DataFrame:
     return P.with_share(P.value_counts(V.jobs(spark, sf_dir), "industry"))
+
+
+@query("preview_rows", f"WITH {V.JOB} SELECT company, title, city, salary_min FROM job ORDER BY doc_id LIMIT 3")
+def preview_rows(spark, sf_dir) -> DataFrame:
+    return readers.preview(V.jobs(spark, sf_dir), "doc_id", ["company", "title", "city", "salary_min"])
+
+
+@query("record_keywords", f"WITH {KEYWORDS} SELECT rec.doc_id, title, coalesce(list, '') AS keywords FROM rec LEFT JOIN (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS list FROM kw WHERE rank <= 10 GROUP BY doc_id) USING (doc_id)")
+def record_keywords(spark, sf_dir) -> DataFrame:
+    """Every record with its keywords, none where it has no tokens."""
+    view = S.record_view(V.records(spark, sf_dir), K.as_lists(K.tfidf(V.token_rows(spark, sf_dir))))
+    return view.select("doc_id", "title", F.array_join("keywords", " ").alias("keywords"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import decode_tokens, parse_number
+
 ENCODINGS = ("gbk", "gb2312", "gb18030", "utf-8", "utf-16")
 
 
@@ -51,6 +53,30 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df.withColumnRenamed(first, first.lstrip("﻿"))
 
 
+def read_raw(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("gbk", "gb18030", "utf-8", "utf-16"), probe: int = 50_000, numbers: tuple[str, ...] = ("salary_min", "salary_max")) -> DataFrame:
+    """CSV by the first encoding that decodes a probe of the file; the columns named as numbers are doubles, null where they are none."""
+    df = read_csv(spark, path, encoding=detect_encoding(head_bytes(spark, path, probe), encodings))
+    return df.withColumns({c: parse_number(F.col(c)) for c in numbers if c in df.columns})
+
+
+def read_segmented(spark: SparkSession, path: str, columns: dict[str, str] | None = None, sep: str = "/") -> DataFrame:
+    """Segmented CSV with token arrays: the named columns (column -> name of its tokens), or the last two as body_tokens and title_tokens."""
+    df = read_csv(spark, path)
+    own = columns or dict(zip(df.columns[-2:], ("body_tokens", "title_tokens"), strict=False))
+    return df.select(*(c for c in df.columns if c not in own), *(decode_tokens(F.col(c), sep).alias(name) for c, name in own.items()))
+
+
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """The category dictionary of a JSON list of name, definition, merged_from, keywords; labels are places in the list."""
+    with_place = spark.read.option("multiLine", True).option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<name:string,definition:string,merged_from:string,keywords:array<string>>>")).alias("label", "c"))
+    return with_place.select("label", "c.*")
+
+
+def preview(df: DataFrame, key: str, fields: list[str], n: int = 3) -> DataFrame:
+    """Some fields of the first rows by key."""
+    return df.orderBy(key).limit(n).select(*fields)
+
+
 def first_rows(df: DataFrame, key: str, n: int = 5000) -> DataFrame:
     return df.orderBy(key).limit(n)
 

@@ -450,3 +450,50 @@ def test_stored_index_answers_as_before(little, tmp_path):
     ix.written(f"file://{tmp_path}/ix")
     again = S.Index.read(docs, f"file://{tmp_path}/ix")
     assert S.scored(again, S.Request(["cc"])).select("doc_id", "score").collect() == before and len(before) == 1
+
+
+# Command line and sources
+
+
+def test_build_search_and_evaluate(spark, tmp_path, capsys):
+    from tessera import __main__ as CLI
+
+    head = "编号,企业,行业,岗位,城市,最低,最高,描述,学历,经验,发布"
+    rows = [f"{k},公司{k},软件,{'数据分析师' if k % 2 else '产品经理'},{'北京市' if k < 6 else '上海市'},{8000 + k},{12000 + k},负责Python3开发 word{k} 该数据由某站整理。,本科及以上,1-3年,2026/1/{k + 1}" for k in range(12)]
+    (tmp_path / "raw.csv").write_text("\n".join([head, *rows]), encoding="utf-8")
+    names = dict(ext_id="编号", company="企业", industry="行业", title="岗位", city="城市", salary_min="最低", salary_max="最高", body="描述", education="学历", experience="经验", pub_date="发布")
+    (tmp_path / "aliases.json").write_text(json.dumps({k: [v] for k, v in names.items()}))
+    (tmp_path / "words.txt").write_text("数据\n分析师\n产品\n经理\n开发\n负责", encoding="utf-8")
+    out = f"file://{tmp_path}/out"
+    words = ["--dictionary", f"file://{tmp_path}/words.txt"]
+    CLI.main(["build", f"file://{tmp_path}/raw.csv", out, "--aliases", str(tmp_path / "aliases.json"), "--brand", "某站", *words], spark)
+    assert "missing" in capsys.readouterr().out
+    assert {r.city for r in spark.read.parquet(f"{out}/cleaned").collect()} == {"北京", "上海"}
+    CLI.main(["search", out, "分析师 北京", *words], spark)
+    shown = capsys.readouterr().out
+    assert shown.startswith("3 hits, page 1 of 1; 城市→北京") and "数据分析师".replace("分析师", "") in shown
+    (tmp_path / "specs.json").write_text(json.dumps([{"query_id": 1, "q": "word3"}, {"query_id": 2, "q": "产品"}]))
+    CLI.main(["template", out, str(tmp_path / "specs.json"), f"file://{tmp_path}/t.json", *words], spark)
+    template = json.loads((tmp_path / "t.json").read_text())
+    assert [len(q["results"]) for q in template] == [1, 6] and template[0]["results"][0]["relevant"] is None
+    for q in template:
+        for r in q["results"]:
+            r["relevant"] = int(r["rank"] <= 2)
+    (tmp_path / "judged.json").write_text(json.dumps(template))
+    capsys.readouterr()
+    CLI.main(["evaluate", f"file://{tmp_path}/judged.json", "--archive", f"file://{tmp_path}/a.json"], spark)
+    assert "Retrieval" in capsys.readouterr().out
+    means = json.loads((tmp_path / "a.json").read_text())["means"][0]
+    assert means["n_queries"] == 2 and means["map"] == 1.0
+
+
+def test_segmented_files_and_categories(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("k,最低,描述_分词,岗位_分词\n1,面议,a/b/ /c,x\n2,900,,y/z\n", encoding="utf-8")
+    got = {r.k: (r.body_tokens, r.title_tokens) for r in readers.read_segmented(spark, f"file://{tmp_path}/s.csv").collect()}
+    assert got == {"1": (["a", "b", "c"], ["x"]), "2": ([], ["y", "z"])}
+    named = readers.read_segmented(spark, f"file://{tmp_path}/s.csv", {"岗位_分词": "t"})
+    assert named.columns == ["k", "最低", "描述_分词", "t"]
+    raw = readers.read_raw(spark, f"file://{tmp_path}/s.csv", numbers=("最低",))
+    assert [r["最低"] for r in raw.orderBy("k").collect()] == [None, 900.0]
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "n", "definition": "d", "merged_from": "m", "keywords": ["a", "b"]}, {"name": "o"}]))
+    assert [(r.label, r.name, r["keywords"]) for r in readers.read_categories(spark, f"file://{tmp_path}/c.json").collect()] == [(0, "n", ["a", "b"]), (1, "o", None)]
