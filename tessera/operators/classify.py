@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -52,10 +51,16 @@ def knn_neighbours(vectors: DataFrame, labels: DataFrame, k: int = max(KS), digi
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("i").alias("doc_id"), "rank", "label", "sim")
 
 
+def knn_votes(neighbours: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """k, doc_id, predicted: for each k the commonest label of the k nearest, ties to the one met first."""
+    each = F.filter(F.array(*map(F.lit, sorted(ks))), lambda k: k >= F.col("rank"))
+    votes = neighbours.withColumn("k", F.explode(each)).groupBy("k", "doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    return votes.groupBy("k", "doc_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("predicted"))
+
+
 def knn_vote(neighbours: DataFrame, k: int) -> DataFrame:
-    """doc_id, predicted: the commonest label of the k nearest, ties to the one met first."""
-    votes = neighbours.where(F.col("rank") <= k).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-    return votes.groupBy("doc_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("predicted"))
+    """doc_id, predicted."""
+    return knn_votes(neighbours, (k,)).select("doc_id", "predicted")
 
 
 def nb_statistics(vectors: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +72,11 @@ def nb_statistics(vectors: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return counts, totals.join(sums, "label", "left").select("label", "docs", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def nb_scores(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """doc_id, label, score (log): prior plus likelihoods of the distinct terms; a term no class has counts ln(1/|V|) in all.
+def nb_scores_by(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """alpha, doc_id, label, score (log): prior plus likelihoods of the distinct terms; a term no class has counts ln(1/|V|) in all.
 
     Every class starts from the sum it would have if none of the terms were seen in it;
-    seen terms add their difference. So only (term, class) pairs that exist are joined.
+    seen terms add their difference. So only (term, class) pairs that exist are joined, once for all alphas.
     """
     known = counts.select("term").distinct().withColumn("known", F.lit(1))
     size = known.agg(F.count(F.lit(1)).alias("size"))
@@ -79,15 +84,26 @@ def nb_scores(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alpha: f
     own = vectors.select("doc_id", "term").distinct()
     terms = own.join(known, "term", "left").groupBy("doc_id").agg(F.count("known").alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
     base = totals.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n_docs))  # one row each
-    base = base.select("label", F.log(F.col("docs") / F.col("n_docs")).alias("prior"), F.log(F.lit(alpha) / (F.col("total") + alpha * F.col("size"))).alias("unseen"), F.log(F.greatest("size", F.lit(1))).alias("ln_size"))
-    seen = own.join(counts, "term").groupBy("doc_id", "label").agg(F.sum(F.log((F.col("n") + alpha) / alpha)).alias("gain"))
-    every = terms.crossJoin(F.broadcast(base))  # a row per class
-    score = F.col("prior") + F.col("n_known") * F.col("unseen") - F.col("n_unknown") * F.col("ln_size") + F.coalesce("gain", F.lit(0.0))
-    return every.join(seen, ["doc_id", "label"], "left").select("doc_id", "label", F.round(score, 9).alias("score"))
+    base = base.select("label", "total", "size", F.log(F.col("docs") / F.col("n_docs")).alias("prior"), F.log(F.greatest("size", F.lit(1))).alias("ln_size"))
+    gains = [F.sum(F.log((F.col("n") + a) / a)).alias(f"gain_{i}") for i, a in enumerate(alphas)]
+    seen = own.join(counts, "term").groupBy("doc_id", "label").agg(*gains)
+    every = terms.crossJoin(F.broadcast(base)).join(seen, ["doc_id", "label"], "left")  # a row per class
+
+    def score(i: int, a: float):
+        unseen = F.log(F.lit(a) / (F.col("total") + a * F.col("size")))
+        return F.col("prior") + F.col("n_known") * unseen - F.col("n_unknown") * F.col("ln_size") + F.coalesce(f"gain_{i}", F.lit(0.0))
+
+    each = F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(score(i, a), 9).alias("score")) for i, a in enumerate(alphas)))
+    return every.select("doc_id", "label", F.explode(each).alias("x")).select("x.alpha", "doc_id", "label", "x.score")
+
+
+def nb_scores(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """doc_id, label, score."""
+    return nb_scores_by(vectors, counts, totals, (alpha,)).drop("alpha")
 
 
-def nb_predict(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("doc_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("predicted"))
+def nb_predict(scores: DataFrame, *by: str) -> DataFrame:
+    return scores.groupBy(*by, "doc_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("predicted"))
 
 
 def probabilities(scores: DataFrame, top: int = 3) -> DataFrame:
@@ -109,44 +125,47 @@ def predict_text(spark, text: str, tokens: list[str], train_df: DataFrame, n_tra
     return {"label": top[0][0], "label_id": best[0].label, "confidence": top[0][1], "top3": top}
 
 
-def confusion(predicted: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
-    """label, tp, fp, fn of every class. predicted: doc_id, predicted; labels: doc_id, label."""
+def confusion(predicted: DataFrame, labels: DataFrame, n_classes: int, by: str | None = None, values: tuple = ()) -> DataFrame:
+    """label, tp, fp, fn of every class, and for each of the values of a grid if asked for. predicted: doc_id, predicted; labels: doc_id, label."""
+    own = [by] if by else []
     rows = labels.select("doc_id", "label").join(predicted, "doc_id")
-    sides = rows.select(F.explode(F.array(F.struct(F.col("label").alias("c"), (F.col("label") == F.col("predicted")).alias("tp"), F.lit(False).alias("fp"), (F.col("label") != F.col("predicted")).alias("fn")), F.struct(F.col("predicted").alias("c"), F.lit(False).alias("tp"), (F.col("label") != F.col("predicted")).alias("fp"), F.lit(False).alias("fn")))).alias("s")).select("s.*")
-    counts = sides.groupBy("c").agg(*(F.count_if(x).alias(x) for x in ("tp", "fp", "fn")))
-    classes = predicted.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("label"))
-    return classes.join(counts, F.col("label") == F.col("c"), "left").select("label", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("tp", "fp", "fn")))
+    right, wrong, no = F.col("label") == F.col("predicted"), F.col("label") != F.col("predicted"), F.lit(False)
+    sides = F.array(F.struct(F.col("label").alias("c"), right.alias("tp"), no.alias("fp"), wrong.alias("fn")), F.struct(F.col("predicted").alias("c"), no.alias("tp"), wrong.alias("fp"), no.alias("fn")))
+    counts = rows.select(*own, F.explode(sides).alias("s")).select(*own, "s.*").groupBy(*own, "c").agg(*(F.count_if(x).alias(x) for x in ("tp", "fp", "fn")))
+    classes = predicted.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("c"))
+    if by:
+        classes = classes.withColumn(by, F.explode(F.array(*map(F.lit, values))))
+    return classes.join(counts, [*own, "c"], "left").select(*own, F.col("c").alias("label"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("tp", "fp", "fn")))
 
 
 def _f1(p, r):
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def metrics(cells: DataFrame) -> DataFrame:
-    """macro and micro P, R, F1 and break-even point of per-class cells."""
+def metrics(cells: DataFrame, *by: str) -> DataFrame:
+    """macro and micro P, R, F1 and break-even point of per-class cells, for each value of by."""
     ratio = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("fp")), ratio(F.col("tp"), F.col("fn"))
     s = lambda c: F.sum(c)
     mp, mr = ratio(s("tp"), s("fp")), ratio(s("tp"), s("fn"))
-    macro = cells.agg(F.avg(p).alias("p"), F.avg(r).alias("r"), F.avg(_f1(p, r)).alias("f1"), mp.alias("mp"), mr.alias("mr"))
+    macro = cells.groupBy(*by).agg(F.avg(p).alias("p"), F.avg(r).alias("r"), F.avg(_f1(p, r)).alias("f1"), mp.alias("mp"), mr.alias("mr"))
     rows = F.array(
         F.struct(F.lit("macro").alias("average"), F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round("f1", 6).alias("f1"), F.round((F.col("p") + F.col("r")) / 2, 6).alias("bep")),
         F.struct(F.lit("micro").alias("average"), F.round("mp", 6).alias("p"), F.round("mr", 6).alias("r"), F.round(_f1(F.col("mp"), F.col("mr")), 6).alias("f1"), F.round((F.col("mp") + F.col("mr")) / 2, 6).alias("bep")),
     )
-    return macro.select(F.explode(rows).alias("x")).select("x.*")
+    return macro.select(*by, F.explode(rows).alias("x")).select(*by, "x.*")
 
 
 def knn_grid(neighbours: DataFrame, labels: DataFrame, n_classes: int, ks: tuple[int, ...] = KS) -> DataFrame:
-    """Metrics for each k from one neighbour table."""
-    parts = [metrics(confusion(knn_vote(neighbours, k), labels, n_classes)).withColumn("k", F.lit(k)) for k in ks]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """k and its metrics, from one pass over one neighbour table."""
+    return metrics(confusion(knn_votes(neighbours, ks), labels, n_classes, "k", ks), "k")
 
 
 def nb_grid(vectors: DataFrame, labels: DataFrame, n_classes: int, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """alpha and its metrics, from one pass over the (term, class) counts."""
     counts, totals = nb_statistics(vectors, labels)
     test = vectors.join(labels.where("not is_train").select("doc_id"), "doc_id", "left_semi")
-    parts = [metrics(confusion(nb_predict(nb_scores(test, counts, totals, a)), labels, n_classes)).withColumn("alpha", F.lit(a)) for a in alphas]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return metrics(confusion(nb_predict(nb_scores_by(test, counts, totals, alphas), "alpha"), labels, n_classes, "alpha", alphas), "alpha")
 
 
 @dataclass

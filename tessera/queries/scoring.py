@@ -206,7 +206,13 @@ def corpus_predictions(spark, sf_dir) -> DataFrame:
     return _model(spark, sf_dir).predict(_bodies(spark, sf_dir)).select("doc_id", "label", "confidence")
 
 
-@query("model_grid")
+_GRID = " UNION ALL ".join(
+    [f"SELECT 'knn {k}' AS model, g.* FROM (WITH {_KNN.replace('rank <= 10', f'rank <= {k}')}, {_METRICS.format('vote')}) g" for k in C.KS]
+    + [f"SELECT 'nb {a}' AS model, g.* FROM (WITH {_NB.replace('+ 0.1', f'+ {a}')}, {_METRICS.format('nbp')}) g" for a in C.ALPHAS]
+)
+
+
+@query("model_grid", _GRID)
 def model_grid(spark, sf_dir) -> DataFrame:
     """Metrics of every k and every alpha."""
     vectors, labels = _vectors(spark, sf_dir)
