@@ -107,19 +107,23 @@ def small_groups(groups: list[np.ndarray]) -> list[tuple[int, int]]:
 def large_group(group: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the components of one group of any size.
 
-    Queries come in batches; lanes found by a batch leave the unvisited set and
-    become later queries, so a dense group is scanned about once and no pairs pile up.
+    Queries come in batches. A batch meets itself and all lanes that are not queried
+    yet; only lanes known to be in the batch's own component are left out, so a dense
+    group is scanned about once. Links are folded into labels batch by batch, so no
+    pairs pile up.
     """
-    label_a, label_b = [], []
+    label = np.arange(len(group))
     unvisited = np.arange(len(group))
     frontier = np.zeros(0, np.int64)
     while len(unvisited) or len(frontier):
         if len(frontier):
+            frontier = frontier[np.argsort(label[frontier], kind="stable")]
             batch, frontier = frontier[:QUERIES], frontier[QUERIES:]
-            others = unvisited
         else:
             batch, unvisited = unvisited[:QUERIES], unvisited[QUERIES:]
-            others = np.concatenate([batch, unvisited])
+        others = np.concatenate([batch, frontier, unvisited])
+        if (label[batch] == label[batch[0]]).all():
+            others = others[label[others] != label[batch[0]]]
         if not len(others):
             continue
         pad = -len(others) % LANES
@@ -131,11 +135,10 @@ def large_group(group: np.ndarray) -> list[tuple[int, int]]:
             keep = at < len(others)
             found.append((batch[q[keep]], others[at[keep]]))
         q, hit = (np.concatenate(x) for x in zip(*found, strict=True))
-        label_a.append(q)
-        label_b.append(hit)
+        linked = np.flatnonzero(label != np.arange(len(group)))
+        label = least_labels(len(group), np.concatenate([linked, q]), np.concatenate([label[linked], hit]))
         new = np.intersect1d(hit, unvisited)
         unvisited = np.setdiff1d(unvisited, new, assume_unique=True)
         frontier = np.concatenate([frontier, new])
-    label = least_labels(len(group), np.concatenate(label_a), np.concatenate(label_b))
     moved = np.flatnonzero(label != np.arange(len(group)))
     return list(zip(group[moved].tolist(), group[label[moved]].tolist(), strict=True))

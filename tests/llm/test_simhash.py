@@ -65,6 +65,21 @@ def test_groups_keep_components(how):
         assert len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
 
 
+def test_large_group_compares_found_lanes():
+    """Two seeds of one batch that meet only through the lanes they find: those are linked to each other as well."""
+    r = random.Random(2)
+    fps = [r.getrandbits(63) for _ in range(48)]
+    for x in (r.getrandbits(63) for _ in range(40)):
+        fps += [x, x ^ 0b11110, x ^ 0b00010 ^ 1 << 63, x ^ 0b11010 ^ 1 << 63]
+    fps.sort()
+    assert sum(f < 1 << 63 for f in fps) == B.QUERIES
+    at = {f: i for i, f in enumerate(fps)}
+    links = [(at[a], at[b]) for a, b in B.large_group(np.array(fps, np.uint64))]
+    got = B.least_labels(len(fps), np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert got.tolist() == components(fps)
+    assert len(set(got.tolist())) == 48 + 40
+
+
 def check(df, rows, **kw):
     got = sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in S.near_duplicates(df, **kw).collect()), key=str)
     fps = [fingerprint(t) for _, t in rows]
