@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import mark, materialise, release, shared_dir
+from tessera.session import BATCH_BYTES, BATCH_ROWS, mark, materialise, release, shared_dir, small_batches
 
-__all__ = ["ascii_lower", "drop", "mark", "materialise", "n_words", "other_key", "release", "shared_dir", "shuffle_partitions", "small_batches", "table"]
-
-#: Rows and bytes that one Arrow batch holds at most (a single longer text is a batch of its own).
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "ascii_lower", "drop", "mark", "materialise", "n_words", "other_key", "release", "shared_dir", "shuffle_partitions", "small_batches", "table"]
 
 #: The words of most contracts: runs without space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,14 +25,6 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bounds the Arrow batches that Python workers hold, by rows and by bytes. Plans are made when a result is asked for, so the setting stays; it is only ever lowered."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(spark.conf.get(name).rstrip("b"))
-        if now <= 0 or now > most:
-            spark.conf.set(name, str(most))
-
-
 def other_key(key: Column) -> Column:
     """The same key under another expression, for the unique side of a join that comes out of a groupBy.
 

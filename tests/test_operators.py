@@ -497,3 +497,29 @@ def test_segmented_files_and_categories(spark, tmp_path):
     assert [r["最低"] for r in raw.orderBy("k").collect()] == [None, 900.0]
     (tmp_path / "c.json").write_text(json.dumps([{"name": "n", "definition": "d", "merged_from": "m", "keywords": ["a", "b"]}, {"name": "o"}]))
     assert [(r.label, r.name, r["keywords"]) for r in readers.read_categories(spark, f"file://{tmp_path}/c.json").collect()] == [(0, "n", ["a", "b"]), (1, "o", None)]
+
+
+# Work that grows with the input and no faster
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_not_shuffled_and_copies_give_few_candidates(spark):
+    df = spark.createDataFrame([(d, t, 0.5) for d in range(60) for t in "abcd"], "doc_id long, term string, u double")
+    near = S.best_products(df, 3, block=7)
+    assert not any(f"Exchange {kind}partitioning" in plan_of(near) for kind in ("hash", "range"))
+    rows = near.collect()
+    # A row stands in at most four tasks as the left one and in four as the right one.
+    assert len(rows) <= 60 * 3 * 2 * spark.sparkContext.defaultParallelism
+    best = {}
+    for r in S.top_similar(spark.createDataFrame(rows), 3).collect():
+        best.setdefault(r.i, {})[r["rank"]] = (r.j, r.score)
+    assert best == {i: {k: (j, 1.0) for k, j in enumerate([j for j in range(5) if j != i][:3], 1)} for i in range(60)}
+
+
+def test_products_are_rounded_as_spark_rounds(spark):
+    x = [0.1234565, 0.1234575, 0.12345649999999999, 1.0000005, 2.5e-7, 5e-7, 0.3333335, 0.0000015]
+    want = [r.v for r in spark.createDataFrame(list(enumerate(x)), "i int, v double").orderBy("i").select(F.round("v", 6).alias("v")).collect()]
+    assert [v / 1e6 for v in S._rounded(np.array(x), 6)] == want
