@@ -523,3 +523,17 @@ def test_products_are_rounded_as_spark_rounds(spark):
     x = [0.1234565, 0.1234575, 0.12345649999999999, 1.0000005, 2.5e-7, 5e-7, 0.3333335, 0.0000015]
     want = [r.v for r in spark.createDataFrame(list(enumerate(x)), "i int, v double").orderBy("i").select(F.round("v", 6).alias("v")).collect()]
     assert [v / 1e6 for v in S._rounded(np.array(x), 6)] == want
+
+
+def test_terms_are_counted_in_slices(spark, monkeypatch):
+    rows = [(d, [f"w{k % (d + 1)}" for k in range(3 * d)], ["ab", f"w{d}"] if d % 2 else None) for d in range(12)]
+    tokens = spark.createDataFrame(rows, "doc_id long, body array<string>, title array<string>").coalesce(1)
+    whole = {n: sorted(map(tuple, f().collect())) for n, f in (("post", lambda: IX.postings(tokens, ["body", "title"])), ("tf", lambda: IX.term_counts(tokens, {"body": 1.0, "title": 2.0})))}
+    batch = tokens.toArrow().to_batches()[0]
+    parts = list(IX._slices(batch, ["body", "title"], 10))
+    sizes = [sum(len(p[f][i].as_py() or []) for f in ("body", "title") for i in range(p.num_rows)) for p in parts]
+    assert sum(p.num_rows for p in parts) == 12 and all(n <= 10 or p.num_rows == 1 for n, p in zip(sizes, parts, strict=True)) and len(parts) > 5
+    monkeypatch.setattr(IX, "TOKENS", 10)
+    assert sorted(map(tuple, IX.postings(tokens, ["body", "title"]).collect())) == whole["post"]
+    assert sorted(map(tuple, IX.term_counts(tokens, {"body": 1.0, "title": 2.0}).collect())) == whole["tf"]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
