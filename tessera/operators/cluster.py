@@ -27,7 +27,7 @@ def word_vectors(tfidf: DataFrame, chosen: DataFrame) -> DataFrame:
     """term, doc_id, w at unit length per term."""
     rows = tfidf.join(F.broadcast(chosen.select("term")), "term")  # at most WORDS rows
     length = rows.groupBy("term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return rows.join(length, "term").select("term", "doc_id", (F.col("w") / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).alias("w"))
+    return rows.join(F.broadcast(length), "term").select("term", "doc_id", (F.col("w") / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).alias("w"))
 
 
 def _partial_gram(n: int, docs: int = 256):

@@ -25,7 +25,7 @@ def tfidf(tokens: DataFrame, k: int = TOP, title_weight: float = TITLE_WEIGHT) -
     docs = tokens.where(F.size("body_tokens") > 0)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     tf = IX.term_counts(docs, {"title_tokens": title_weight, "body_tokens": 1.0})
-    df = IX.document_frequency(tf).crossJoin(F.broadcast(n))  # one row
+    df = IX.document_frequency(IX.distinct_terms(docs, ["title_tokens", "body_tokens"])).crossJoin(F.broadcast(n))  # one row
     scored = tf.join(df, "term").select("doc_id", "term", (F.col("tf") * idf(F.col("n"), F.col("df"), "smooth")).alias("score"))
     return IX.top_features(scored, k, "score")
 

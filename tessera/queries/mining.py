@@ -210,7 +210,8 @@ def word_cluster_quality(spark, sf_dir) -> DataFrame:
     """Size and mean cosine inside each cluster of the words."""
     matrix, n = _matrix(spark, sf_dir)
     vectors = C.word_vectors(matrix, C.word_variance(matrix, n)).select(F.col("term").alias("item"), F.col("doc_id").alias("dim"), "w")
-    return C.quality(vectors, _labels(spark, sf_dir, "kmeans").select(F.col("term").alias("item"), "cluster"))[0]
+    labels = _labels(spark, sf_dir, "kmeans").select(F.col("term").alias("item"), "cluster")
+    return C.quality(vectors, F.broadcast(labels))[0]  # at most WORDS rows
 
 
 @query("word_cluster_overlap")

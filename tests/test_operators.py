@@ -537,3 +537,17 @@ def test_terms_are_counted_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, IX.postings(tokens, ["body", "title"]).collect())) == whole["post"]
     assert sorted(map(tuple, IX.term_counts(tokens, {"body": 1.0, "title": 2.0}).collect())) == whole["tf"]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_weights_count_the_terms_once(spark):
+    tokens = spark.createDataFrame([(1, ["a", "b", "a"], ["c"]), (2, ["a"], None)], "doc_id long, body array<string>, title array<string>")
+    matrix = IX.tfidf_matrix(tokens, ["body", "title"], 2)
+    assert plan_of(matrix).count("MapInArrow") == 1
+    assert {(r.doc_id, r.term): round(r.w, 9) for r in matrix.collect()} == {(1, "a"): round(2 * math.log(2 / 3), 9), (1, "b"): 0.0, (1, "c"): 0.0, (2, "a"): round(math.log(2 / 3), 9)}
+
+
+def test_word_vectors_are_not_shuffled_by_word(spark):
+    rows = spark.createDataFrame([(d, t, 1.0 + d) for d in range(5) for t in "ab"], "doc_id long, term string, w double")
+    vectors = CL.word_vectors(rows, spark.createDataFrame([("a",)], "term string"))
+    assert "SortMergeJoin" not in plan_of(vectors)
+    assert {r.doc_id: round(r.w, 9) for r in vectors.collect()} == {d: round((1 + d) / math.sqrt(55), 9) for d in range(5)}
