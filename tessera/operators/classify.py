@@ -17,12 +17,12 @@ ALPHAS = (0.01, 0.1, 0.5, 1.0, 2.0, 5.0)
 
 def train_df_vectors(tokens: DataFrame, train: DataFrame, field: str = "tokens", k: int = 200) -> DataFrame:
     """doc_id, term, w of all documents with document frequencies of the training rows alone; a term they lack has df 0, so idf ln N."""
-    return vectors_by(IX.term_counts(tokens, {field: 1.0}), *training_df(IX.term_counts(tokens, {field: 1.0}), train), k)
+    return vectors_by(IX.term_counts(tokens, {field: 1.0}), *training_df(tokens, train, field), k)
 
 
-def training_df(tf: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+def training_df(tokens: DataFrame, train: DataFrame, field: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """(term, df) of the training rows, and their number as one row, n."""
-    df = tf.join(train.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = IX.document_frequency(IX.distinct_terms(tokens.join(train.select("doc_id"), "doc_id", "left_semi"), [field]))
     return df, train.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -79,16 +79,22 @@ def nb_scores_by(vectors: DataFrame, counts: DataFrame, totals: DataFrame, alpha
     Every class starts from the sum it would have if none of the terms were seen in it;
     seen terms add their difference. So only (term, class) pairs that exist are joined, once for all alphas.
     """
-    known = counts.select("term").distinct().withColumn("known", F.lit(1))
+    known = counts.groupBy("term").agg(F.collect_list(F.struct("label", "n")).alias("seen"))  # a row per term, of at most as many entries as classes
     size = known.agg(F.count(F.lit(1)).alias("size"))
     n_docs = totals.agg(F.sum("docs").alias("n_docs"))
-    own = vectors.select("doc_id", "term").distinct()
-    terms = own.join(known, "term", "left").groupBy("doc_id").agg(F.count("known").alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
+    own = vectors.select("doc_id", "term").distinct().join(known, "term", "left")
     base = totals.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(n_docs))  # one row each
     base = base.select("label", "total", "size", F.log(F.col("docs") / F.col("n_docs")).alias("prior"), F.log(F.greatest("size", F.lit(1))).alias("ln_size"))
+    # One pass over the terms: an entry per class that has the term, and one without class that says whether any has it.
+    entry = F.struct(F.lit(True).alias("mark"), F.lit(None).cast(counts.schema["label"].dataType).alias("label"), F.lit(None).cast(counts.schema["n"].dataType).alias("n"))
+    seen = F.transform(F.coalesce("seen", F.array().cast(known.schema["seen"].dataType)), lambda x: F.struct(F.lit(False).alias("mark"), x["label"].alias("label"), x["n"].alias("n")))
+    rows = own.select("doc_id", F.col("seen").isNull().alias("unknown"), F.explode(F.concat(F.array(entry), seen)).alias("x")).select("doc_id", "unknown", "x.*")
     gains = [F.sum(F.log((F.col("n") + a) / a)).alias(f"gain_{i}") for i, a in enumerate(alphas)]
-    seen = own.join(counts, "term").groupBy("doc_id", "label").agg(*gains)
-    every = terms.crossJoin(F.broadcast(base)).join(seen, ["doc_id", "label"], "left")  # a row per class
+    per_class = rows.groupBy("doc_id", "mark", "label").agg(F.count_if(~F.col("unknown")).alias("n_known"), F.count_if("unknown").alias("n_unknown"), *gains)
+    ofs = F.collect_list(F.when(~F.col("mark"), F.struct("label", *(f"gain_{i}" for i in range(len(alphas)))))).alias("classes")
+    terms = per_class.groupBy("doc_id").agg(F.max(F.when(F.col("mark"), F.col("n_known"))).alias("n_known"), F.max(F.when(F.col("mark"), F.col("n_unknown"))).alias("n_unknown"), ofs)
+    every = terms.crossJoin(F.broadcast(base)).withColumn("own", F.filter("classes", lambda x: x["label"] == F.col("label")))  # a row per class
+    every = every.select("doc_id", "label", "total", "size", "prior", "ln_size", "n_known", "n_unknown", *(F.get("own", F.lit(0))[f"gain_{i}"].alias(f"gain_{i}") for i in range(len(alphas))))
 
     def score(i: int, a: float):
         unseen = F.log(F.lit(a) / (F.col("total") + a * F.col("size")))
@@ -183,9 +189,10 @@ class NbModel:
     def fit(tokens: DataFrame, labels: DataFrame, field: str = "tokens", alpha: float = 0.1, k: int = 200) -> NbModel:
         """Trained on all labelled documents (labels: doc_id, label)."""
         train = labels.where("label is not null").select("doc_id", "label", F.lit(True).alias("is_train"))
-        tf = IX.term_counts(tokens.join(train.select("doc_id"), "doc_id", "left_semi"), {field: 1.0})
-        df, n = training_df(tf, train)
-        return NbModel(*nb_statistics(vectors_by(tf, df, n, k), train), df, n, alpha)
+        own = tokens.join(train.select("doc_id"), "doc_id", "left_semi")
+        df, n = training_df(tokens, train, field)
+        vectors = materialise(vectors_by(IX.term_counts(own, {field: 1.0}), df, n, k))
+        return NbModel(*nb_statistics(vectors, train), df, n, alpha)
 
     def save(self, path: str) -> NbModel:
         """Writes the tables below path and returns the model that reads them."""

@@ -551,3 +551,15 @@ def test_word_vectors_are_not_shuffled_by_word(spark):
     vectors = CL.word_vectors(rows, spark.createDataFrame([("a",)], "term string"))
     assert "SortMergeJoin" not in plan_of(vectors)
     assert {r.doc_id: round(r.w, 9) for r in vectors.collect()} == {d: round((1 + d) / math.sqrt(55), 9) for d in range(5)}
+
+
+def test_scores_read_the_vectors_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (1, "x", 1.0), (2, "x", 1.0)], "doc_id long, term string, w double").write.parquet(f"file://{tmp_path}/own_vectors")
+    counts = spark.createDataFrame([(0, "a", 2), (1, "a", 1), (1, "b", 3)], "label int, term string, n long")
+    totals = spark.createDataFrame([(0, 2, 2), (1, 3, 4)], "label int, docs long, total long")
+    scores = C.nb_scores(spark.read.parquet(f"file://{tmp_path}/own_vectors"), counts, totals, 0.5)
+    assert plan_of(scores).count("FileScan parquet") == 1
+    prior, total, n = {0: math.log(2 / 5), 1: math.log(3 / 5)}, {0: 2, 1: 4}, {(0, "a"): 2, (1, "a"): 1, (1, "b"): 3}
+    seen = lambda c: sum(math.log((n.get((c, t), 0) + 0.5) / (total[c] + 1.0)) for t in "ab")
+    want = {(d, c): round(prior[c] + (seen(c) if d == 1 else 0) - math.log(2), 9) for d in (1, 2) for c in (0, 1)}
+    assert {(r.doc_id, r.label): r.score for r in scores.collect()} == want
