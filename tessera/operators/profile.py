@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,12 +56,77 @@ def group_sizes(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Different values of an interval up to which the driver takes them, and the inverse of the rank error of the bounds.
+VALUES, ACCURACY = 100_000, 10_000
+
+
+def percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], values: int = VALUES, accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact percentiles of each column, interpolated between neighbours; null if it has no values.
+
+    No task meets all values: approximate ones bound an interval around each wanted rank, and rows below
+    and inside it are counted, until it holds few different values. Only these are sorted, with their counts.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    n = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(x.values()))).first() if columns else ()
+    place = {(c, p): p * (n[i] - 1) for i, c in enumerate(columns) for p in shares if n[i]}
+    ranks = {t: (math.floor(at), math.ceil(at)) for t, at in place.items()}
+    bounds: dict[tuple, tuple[float | None, float | None]] = dict.fromkeys(place, (None, None))
+    below, inside, wide = dict.fromkeys(place, 0), {t: n[columns.index(t[0])] for t in place}, list(place)
+
+    def within(t: tuple) -> Column:
+        lo, hi = bounds[t]
+        own = x[t[0]].isNotNull()
+        return own & (F.lit(True) if lo is None else x[t[0]] >= lo) & (F.lit(True) if hi is None else x[t[0]] <= hi)
+
+    def counted(targets: list[tuple]) -> dict[tuple, tuple[int, int, int]]:
+        parts = [F.struct((F.lit(0) if bounds[t][0] is None else F.count_if(x[t[0]] < bounds[t][0])).cast("long"), F.count_if(within(t)), F.approx_count_distinct(F.when(within(t), x[t[0]]))) for t in targets]
+        return dict(zip(targets, map(tuple, df.agg(*(p.alias(f"p{i}") for i, p in enumerate(parts))).first()), strict=True))
+
+    while wide:
+        # Where the wanted ranks lie inside the interval, with room for twice the error to both sides.
+        asked = {t: [min(max((r - below[t]) / max(inside[t] - 1, 1) + e, 0.0), 1.0) for r, e in zip(ranks[t], (-2 / accuracy, 2 / accuracy), strict=True)] for t in wide}
+        found = df.agg(*(F.percentile_approx(F.when(within(t), x[t[0]]), F.array(*map(F.lit, asked[t])), F.lit(accuracy)).alias(f"a{i}") for i, t in enumerate(wide))).first()
+        before = dict(bounds)
+        for t, (lo, hi) in zip(wide, found, strict=True):
+            bounds[t] = (lo, hi)
+        got = counted(wide)
+        for t in wide:
+            lower, own, _ = got[t]
+            if lower > ranks[t][0] or lower + own <= ranks[t][1]:  # the approximation was worse than it should be
+                bounds[t] = before[t]
+                got[t] = (below[t], inside[t], 0)
+            below[t], inside[t] = got[t][:2]
+        wide = [t for t in wide if got[t][2] > values and bounds[t] != before[t]]
+    if not place:
+        return {c: [None] * len(shares) for c in columns}
+    order = list(place)
+    each = F.array(*(F.when(within(t), F.struct(F.lit(i).alias("t"), x[t[0]].alias("v"))) for i, t in enumerate(order)))
+    held = df.select(F.explode(each).alias("h")).where("h is not null").groupBy("h.t", "h.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    lists = {t: sorted(((r.v, r.n) for r in held if r.t == i), key=lambda a: (a[0] != a[0], a[0])) for i, t in enumerate(order)}
+
+    def at(t: tuple, rank: int) -> float:
+        left = rank - below[t]
+        for v, m in lists[t]:
+            left -= m
+            if left < 0:
+                return v
+        raise AssertionError("the rank lies outside its interval")
+
+    def value(t: tuple) -> float:
+        lo, hi = (at(t, r) for r in ranks[t])
+        return lo if ranks[t][0] == ranks[t][1] or lo == hi else (ranks[t][1] - place[t]) * lo + (place[t] - ranks[t][0]) * hi
+
+    return {c: [value((c, p)) if (c, p) in place else None for p in shares] for c in columns}
+
+
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, median, std, min, max, p25, p75 (rounded to 2) of each column; all null if it has no values."""
+    of = percentiles(df, columns, (0.25, 0.5, 0.75))
 
     def stats(c: str) -> dict[str, Column]:
         x = F.col(c)
-        out = {"mean": F.avg(x), "median": F.percentile(x, 0.5), "std": F.stddev_samp(x), "min": F.min(x).cast("double"), "max": F.max(x).cast("double"), "p25": F.percentile(x, 0.25), "p75": F.percentile(x, 0.75)}
+        p25, median, p75 = (F.lit(v).cast("double") for v in of[c])
+        out = {"mean": F.avg(x), "median": median, "std": F.stddev_samp(x), "min": F.min(x).cast("double"), "max": F.max(x).cast("double"), "p25": p25, "p75": p75}
         return {"count": F.count(x)} | {k: F.round(v, 2) for k, v in out.items()}
 
     return _long(df, {c: stats(c) for c in columns})

@@ -563,3 +563,15 @@ def test_scores_read_the_vectors_once(spark, tmp_path):
     seen = lambda c: sum(math.log((n.get((c, t), 0) + 0.5) / (total[c] + 1.0)) for t in "ab")
     want = {(d, c): round(prior[c] + (seen(c) if d == 1 else 0) - math.log(2), 9) for d in (1, 2) for c in (0, 1)}
     assert {(r.doc_id, r.label): r.score for r in scores.collect()} == want
+
+
+@pytest.mark.parametrize("bound", [3, 100_000])
+def test_percentiles_meet_in_no_task(spark, bound):
+    r = np.random.default_rng(7)
+    x = [None if v < -2 else round(float(v), 3) for v in r.normal(0, 1, 3000)]
+    y = [float(v) for v in r.integers(0, 4, 3000)]
+    df = spark.createDataFrame(list(zip(x, y, [None] * 3000, strict=True)), "x double, y double, z double")
+    got = P.percentiles(df, ["x", "y", "z"], (0.0, 0.25, 0.5, 0.75, 1.0), values=bound, accuracy=50)
+    own = [v for v in x if v is not None]
+    assert np.allclose(got["x"], np.percentile(own, [0, 25, 50, 75, 100]), atol=1e-12) and got["y"] == list(np.percentile(y, [0, 25, 50, 75, 100])) and got["z"] == [None] * 5
+    assert "percentile(" not in plan_of(P.numeric_stats(df, ["x", "y", "z"]))
